@@ -31,6 +31,7 @@ from strandloom.session import materialize
 LEVELS = {10: 1, 20: 2, 30: 3, 40: 4, 60: 6}
 _SECOND = 15
 _UNIT = 0
+_LETTERS = 90
 _STOP_WORD, _STOP_NUMBER = 100, 101
 
 #: A first word cut short is looked up by its characters, up to this many.
@@ -83,13 +84,8 @@ def units(text: str) -> list[str]:
 
 def last_unit(text: str) -> str:
     """The unit the core ends in."""
-    whole = core(text)
-    reach = 2000
-    while True:
-        found = units(whole[-reach:])
-        if len(found) > 2 or reach >= len(whole):
-            return found[-1] if found else ""
-        reach *= 4
+    found = units(core(text))
+    return found[-1] if found else ""
 
 
 def shape(unit: str) -> str:
@@ -145,25 +141,47 @@ def stop_key(unit: str) -> int | None:
     return _key(*found) if found else None
 
 
-def _counts(texts: DataFrame) -> DataFrame:
-    """(key, whole, open): over all texts, how often each prefix begins a unit that ends a sentence, and in how many texts one that doesn't.
+def _looked_up(unit: str) -> list[tuple[int, int]]:
+    """(level, key) that a text's last unit is looked up by; a final unit by what its full stop stands behind."""
+    if is_final(unit):
+        key = stop_key(unit)
+        return [] if key is None else [(_STOP_WORD, key)]
+    first = head(unit)
+    out = [(_UNIT, _key(_UNIT, shape(unit))), *((level, _key(level, prefix)) for level, prefix in prefixes(first))]
+    if " " not in first and len(first) <= LETTERS:
+        out.append((_LETTERS, _key(_LETTERS, first)))
+    return out
+
 
-    Open ones are counted in different texts, for a cut text sent again is no evidence
-    that its end is one. Keys of last units tell in how many texts they stand alike; keys of stops
-    count ends and goings-on. Counted per batches first, so that only different prefixes are sent on.
+def _scan(texts: DataFrame) -> DataFrame:
+    """One scan of all texts, in rows of two kinds.
+
+    With ``_i``: (level, key, final) that the text's last unit is looked up by. Without:
+    (key, whole, open, text) counts of how often each prefix begins a unit that ends a
+    sentence, and one that doesn't. Open ones come with their text's hash, for a cut text
+    sent again is no evidence that its end is one. Keys of last units tell in which
+    texts they stand alike; keys of stops count ends and goings-on. Counts are summed
+    per batches first, so that only different prefixes are sent on.
     """
+    ddl = "level int, key bigint, final boolean, `whole` bigint, `open` bigint, text bigint"
+    schema = T.StructType([T.StructField("_i", texts.schema["_i"].dataType), *T.StructType.fromDDL(ddl).fields])
+    names = schema.fieldNames()
 
-    def count(batches):
+    def scan(batches):
         whole: Counter[str] = Counter()
         stops: Counter[tuple[int, str, bool]] = Counter()
         open_: set[tuple[str, int]] = set()
         alike: set[tuple[str, int]] = set()
+        kind = None
 
         def flush():
             sums: Counter[tuple[int, bool]] = Counter()
             for first, n in whole.items():
                 for level, prefix in prefixes(first):
                     sums[_key(level, prefix), True] += n
+                word = first.split(" ", 1)[0][:LETTERS]
+                for c in range(1, len(word) + 1):
+                    sums[_key(_LETTERS, word[:c]), True] += n
             for (level, word, goes_on), n in stops.items():
                 sums[_key(level, word), not goes_on] += n
             texts_ = {(_key(level, prefix), h) for first, h in open_ for level, prefix in prefixes(first)}
@@ -171,11 +189,14 @@ def _counts(texts: DataFrame) -> DataFrame:
             rows = [(k, n if w else 0, 0 if w else n, None) for (k, w), n in sums.items()] + [(k, 0, 1, h) for k, h in texts_]
             for x in (whole, stops, open_, alike):
                 x.clear()
-            columns = list(zip(*rows, strict=True)) or [[], [], [], []]
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["key", "whole", "open", "text"])
+            columns = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]
+            none = [pa.nulls(len(rows), t) for t in (kind, pa.int32(), pa.bool_())]
+            return pa.RecordBatch.from_arrays([none[0], none[1], columns[0], none[2], *columns[1:]], names=names)
 
         for batch in batches:
-            for text in batch.column("_text").to_pylist():
+            kind = batch.column("_i").type
+            ends = [[], [], [], []]
+            for row, text in enumerate(batch.column("_text").to_pylist()):
                 if not text:
                     continue
                 inner = core(text)
@@ -202,31 +223,24 @@ def _counts(texts: DataFrame) -> DataFrame:
                             elif c.isdigit() and (b := _word_before(unit, at)) and b[0] == _STOP_NUMBER:
                                 stops[*b, True] += 1
                         at = unit.find(".", at + 1)
-                if found and not is_final(found[-1]):
-                    alike.add((shape(found[-1]), h))
+                if found:
+                    final = is_final(found[-1])
+                    if not final:
+                        alike.add((shape(found[-1]), h))
+                    for level, key in _looked_up(found[-1]):
+                        for column, v in zip(ends, (row, level, key, final), strict=True):
+                            column.append(v)
+            if ends[0]:
+                n = len(ends[0])
+                ids = batch.column("_i").take(pa.array(ends[0]))
+                looked = [ids, pa.array(ends[1], pa.int32()), pa.array(ends[2], pa.int64()), pa.array(ends[3])]
+                yield pa.RecordBatch.from_arrays([*looked, *(pa.nulls(n, pa.int64()) for _ in range(3))], names=names)
             if len(whole) + len(open_) > 100_000:
                 yield flush()
-        yield flush()
-
-    counted = texts.select("_text").mapInArrow(count, "key bigint, `whole` bigint, `open` bigint, text bigint")
-    per_text = counted.groupBy("key", "text").agg(F.sum("whole").alias("whole"), F.when(F.col("text").isNull(), F.sum("open")).otherwise(F.lit(1)).alias("open"))
-    return per_text.groupBy("key").agg(F.sum("whole").alias("whole"), F.sum("open").alias("open"))
-
-
-def _first_words(texts: DataFrame) -> DataFrame:
-    """(letters, whole): how many sentences' first words begin with these letters."""
-
-    def count(batches):
-        seen: Counter[str] = Counter()
-        for batch in batches:
-            for text in batch.column("_text").to_pylist():
-                if text:
-                    seen.update(u.split(None, 1)[0][:LETTERS] for u in units(core(text)) if is_final(u))
-        yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], names=["word", "n"])
+        if whole or stops or open_ or alike:
+            yield flush()
 
-    words = texts.select("_text").mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    cut = words.select("n", F.explode(F.transform(F.sequence(F.lit(1), F.length("word")), lambda k: F.substring("word", F.lit(1), k))).alias("letters"))
-    return cut.groupBy("letters").agg(F.sum("n").alias("whole"))
+    return texts.mapInArrow(scan, schema)
 
 
 def strict_prefixes(df: DataFrame, item: str, text: str, finish: bool = False) -> DataFrame:
@@ -297,30 +311,11 @@ def truncated(df: DataFrame, item: str, text: str) -> DataFrame:
     judged. Other columns are ignored; an empty table gives an empty result.
     """
     rows = df.where(F.col(item).isNotNull() & F.col(text).isNotNull()).select(F.col(item).alias("_i"), F.col(text).alias("_text"))
-    kind = rows.schema["_i"].dataType
-    schema = T.StructType([T.StructField("_i", kind), *T.StructType.fromDDL("level int, key bigint, final boolean, word string").fields])
-
-    def ends(batches):
-        for b in batches:
-            out = [[], [], [], [], []]
-            for i, t in zip(b.column("_i"), b.column("_text").to_pylist(), strict=True):
-                unit = last_unit(t)
-                if not unit:
-                    continue
-                final = is_final(unit)
-                first = head(unit)
-                found = [(_STOP_WORD, stop_key(unit))] if final else [(_UNIT, _key(_UNIT, shape(unit))), *((k, _key(k, p)) for k, p in prefixes(first))]
-                word = first if not final and " " not in first and len(first) <= LETTERS else None
-                for level, key in found:
-                    if key is not None:
-                        for k, v in zip(out, (i, level, key, final, word), strict=True):
-                            k.append(v)
-            if out[0]:
-                kinds = (b.column("_i").type, pa.int32(), pa.int64(), pa.bool_(), pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=schema.fieldNames())
-
-    last = materialize(rows.mapInArrow(ends, schema))
-    counts = materialize(_counts(rows))
+    scanned = materialize(_scan(rows))
+    last = scanned.where(F.col("_i").isNotNull()).select("_i", "level", "key", "final")
+    per_text = scanned.where(F.col("_i").isNull()).groupBy("key", "text").agg(F.sum("whole").alias("whole"), F.sum("open").alias("open"))
+    once = F.when(F.col("text").isNull(), F.col("open")).otherwise(F.lit(1))
+    counts = materialize(per_text.groupBy("key").agg(F.sum("whole").alias("whole"), F.sum(once).alias("open")))
     none = F.lit(None).cast("bigint")
     stops = counts.where((F.col("open") > 2 * F.col("whole")) & (F.col("open") >= 2)).select("key")
     by_stop = last.where("final").join(stops, "key", "left_semi").select("_i", F.lit("stop").alias("evidence"), none.alias("whole"), none.alias("open"))
@@ -328,24 +323,28 @@ def truncated(df: DataFrame, item: str, text: str) -> DataFrame:
     # the unit's own text is among those counted: the others are what remains
     looked = last.where(~F.col("final")).join(counts, "key").withColumn("open", F.col("open") - 1)
     seen = F.struct("level", "whole", "open")
-    by_level = F.when((F.col("level") > _UNIT) & (F.col("whole") + F.col("open") > 1), F.col("level"))
-    by_any = F.when((F.col("level") > _UNIT) & (F.col("whole") + F.col("open") > 0), F.col("level"))
+    words = F.col("level").isin(*LEVELS)
+    second = F.col("level") == _SECOND
+    by_level = F.when(words & (F.col("whole") + F.col("open") > 1), F.col("level"))
+    by_any = F.when(words & (F.col("whole") + F.col("open") > 0), F.col("level"))
     judged = looked.groupBy("_i").agg(
-        F.max(F.when(F.col("level") == _UNIT, F.col("open"))).alias("alike"),
-        F.max_by(seen, by_level).alias("best"), F.max(by_level).alias("has"), F.max_by(seen, by_any).alias("any"), F.max(by_any).alias("has_any"), F.max("word").alias("word"),
+        F.max(F.when(F.col("level") == _UNIT, F.col("open"))).alias("alike"), F.max(F.when(F.col("level") == _LETTERS, F.col("whole"))).alias("letters"),
+        F.max_by(seen, by_level).alias("best"), F.max(by_level).alias("has"), F.max_by(seen, by_any).alias("any"), F.max(by_any).alias("has_any"),
+        F.bool_or(second & (F.col("open") > F.col("whole"))).alias("second_ends"),
     )
     best = F.when(F.col("has").isNotNull(), F.col("best")).when(F.col("has_any").isNotNull(), F.col("any"))
-    judged = judged.select("_i", "alike", "word", best["whole"].alias("whole"), best["open"].alias("open"))
-    by_unit = judged.where("`whole` > `open` and alike <= `whole`").select("_i", F.lit("unit").alias("evidence"), "whole", "open")
     # a single word cut short begins like no whole word: it is looked up by its letters
-    lone = judged.where("word is not null and `whole` is null and alike = 0")
-    by_letters = lone.drop("whole").join(_first_words(rows), lone["word"] == F.col("letters")).select("_i", F.lit("unit").alias("evidence"), "whole", F.lit(0).cast("bigint").alias("open"))
+    whole, open_ = F.coalesce(best["whole"], F.col("letters")), F.coalesce(best["open"], F.lit(0))
+    # known by its first word only: a second word that elsewhere stands in open units speaks against it
+    vetoed = (best["level"] == min(LEVELS)) & F.coalesce("second_ends", F.lit(False))
+    judged = judged.where(~F.coalesce(vetoed, F.lit(False))).select("_i", "alike", whole.alias("whole"), open_.alias("open"))
+    by_unit = judged.where("`whole` > `open` and alike <= `whole`").select("_i", F.lit("unit").alias("evidence"), "whole", "open")
 
     open_ones = last.where(~F.col("final")).select("_i").distinct().unionByName(by_stop.select("_i"))
     copies = strict_prefixes(rows, "_i", "_text").where(~F.col("next_char").rlike("[\\s]"))
     by_text = copies.join(open_ones, "_i", "left_semi").select("_i", F.lit("text").alias("evidence"), none.alias("whole"), none.alias("open"))
-    found = by_text.unionByName(by_unit).unionByName(by_letters).unionByName(by_stop)
-    return found.groupBy(F.col("_i").alias(item)).agg(F.max("evidence").alias("evidence"), F.max("whole").alias("unit_whole"), F.max("open").alias("unit_open"))
+    found = by_text.unionByName(by_unit).unionByName(by_stop)
+    return found.groupBy(F.col("_i").alias(item)).agg(F.min("evidence").alias("evidence"), F.max("whole").alias("unit_whole"), F.max("open").alias("unit_open"))
 
 
 def truncation_rates(df: DataFrame, item: str, text: str, source: str) -> DataFrame:
