@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from strandloom.operators.ordered import prefix_sum_within
+
 
 def first_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row per key in a total order; nulls in a key form a group."""
@@ -38,9 +40,28 @@ def cascade(df: DataFrame, key: str, passes: list[tuple[DataFrame, str]], into:
     return df.join(done, key, "left")
 
 
-def quantile_edges(df: DataFrame, column: str, shares: list[float]) -> Column:
-    """Exact linear-interpolated quantiles as an array of one row; join it, never loop over it."""
-    return F.percentile(column, shares)
+def exact_quantiles(df: DataFrame, column: str, shares: list[float], group: list[str] | None = None) -> DataFrame:
+    """(group, q) with linear-interpolated quantiles of the values that are not null or NaN, as an array in the order of ``shares``.
+
+    Values are counted, the counts prefix-summed in a range-sorted scan, and each
+    quantile's two neighbours are found by their running count: no group is sorted in one task.
+    """
+    group = group or []
+    ok = F.col(column).isNotNull() & ~F.isnan(F.col(column).cast("double"))
+    counted = df.where(ok).groupBy(*group, column).agg(F.count("*").alias("_c"))
+    totals = counted.groupBy(*(F.col(g).alias(f"_g{i}") for i, g in enumerate(group))).agg(F.sum("_c").alias("_n"))
+    running = prefix_sum_within(counted, group, [column], "_c", "_upto")
+    same = [running[g].eqNullSafe(totals[f"_g{i}"]) for i, g in enumerate(group)]
+    both = running.join(totals, same) if same else running.join(F.broadcast(totals))  # without groups: one row
+    found = []
+    for k, share in enumerate(shares):
+        at = (F.col("_n") - 1) * F.lit(float(share))
+        low = F.floor(at)
+        value = F.col(column).cast("double")
+        found += [F.min(F.when(F.col("_upto") > low, value)).alias(f"_lo{k}"), F.min(F.when(F.col("_upto") > low + 1, value)).alias(f"_hi{k}"), F.max(at - low).alias(f"_f{k}")]
+    ends = both.groupBy(*group).agg(*found)
+    line = [F.col(f"_lo{k}") + F.when(F.col(f"_f{k}") > 0, F.col(f"_f{k}") * (F.col(f"_hi{k}") - F.col(f"_lo{k}"))).otherwise(0.0) for k in range(len(shares))]
+    return ends.select(*group, F.array(*line).alias("q"))
 
 
 def binned(value: Column, edges: Column) -> Column:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from strandloom.plans import interval_queries, packed_and_intervals, table_queries
+from strandloom.plans import interval_queries, packed_and_intervals, sequence_queries, table_queries
 
-_MODULES = (packed_and_intervals, interval_queries, table_queries)
+_MODULES = (packed_and_intervals, interval_queries, table_queries, sequence_queries)
 
 
 def queries() -> dict:

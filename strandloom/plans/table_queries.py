@@ -179,13 +179,11 @@ _SUM = "round(avg(l_extendedprice), 4) AS mean, round(stddev_samp(l_extendedpric
 
 @REG.add("a5_a16_summary", f"SELECT l_returnflag, {_SUM}, min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM lineitem GROUP BY 1")
 def a5_a16_summary(spark, folder):
-    """Mean, deviation and exact linear quantiles; values are counted first, so quantiles see distinct values."""
-    x = "l_extendedprice"
-    counted = table(spark, folder, LINE).groupBy("l_returnflag", x).agg(F.count("*").alias("n"))
-    q = [F.round(F.percentile(x, p, F.col("n")), 4).alias(a) for a, p in (("median", 0.5), ("q90", 0.9), ("q25", 0.25))]
-    s0, s1, s2 = F.sum(F.when(F.col(x).isNotNull(), F.col("n"))), F.sum(F.col(x) * F.col("n")), F.sum(F.col(x) * F.col(x) * F.col("n"))
-    sd = F.sqrt((s2 - s1 * s1 / s0) / (s0 - 1))
-    return counted.groupBy("l_returnflag").agg(F.round(s1 / s0, 4).alias("mean"), F.round(sd, 4).alias("sd"), *q, F.min(x).alias("lo"), F.max(x).alias("hi"))
+    """Mean, deviation, extremes and exact linear quantiles."""
+    x, rows = "l_extendedprice", table(spark, folder, LINE).select("l_returnflag", "l_extendedprice")
+    q = tb.exact_quantiles(rows, x, [0.5, 0.9, 0.25], ["l_returnflag"])
+    m = rows.groupBy("l_returnflag").agg(F.round(F.avg(x), 4).alias("mean"), F.round(F.stddev_samp(x), 4).alias("sd"), F.min(x).alias("lo"), F.max(x).alias("hi"))
+    return m.join(q, "l_returnflag").select("l_returnflag", "mean", "sd", *(F.round(F.col("q")[i], 4).alias(n) for i, n in enumerate(("median", "q90", "q25"))), "lo", "hi")
 
 
 @REG.add("a6_distinct", "SELECT l_suppkey, count(DISTINCT l_partkey) AS n_parts, count(DISTINCT l_orderkey) AS n_orders FROM lineitem GROUP BY 1")
@@ -289,7 +287,7 @@ def w4_rank_of_means(spark, folder):
 SELECT len(list_filter(list_distinct(q.e), lambda x: x < l_extendedprice)) + 1 AS bin, count(*) AS n, min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM lineitem, q WHERE l_extendedprice IS NOT NULL GROUP BY 1""")
 def w5_quantile_bins(spark, folder):
     rows = table(spark, folder, LINE).where("l_extendedprice is not null").groupBy("l_extendedprice").agg(F.count("*").alias("n"))
-    edges = rows.agg(F.percentile("l_extendedprice", F.array(*(F.lit(i / 10) for i in range(1, 10))), F.col("n")).alias("e"))  # one row
+    edges = tb.exact_quantiles(table(spark, folder, LINE), "l_extendedprice", [i / 10 for i in range(1, 10)]).select(F.col("q").alias("e"))  # one row
     b = rows.join(F.broadcast(edges)).withColumn("bin", tb.binned(F.col("l_extendedprice"), F.col("e")).cast("bigint"))
     return b.groupBy("bin").agg(F.sum("n").alias("n"), F.min("l_extendedprice").alias("lo"), F.max("l_extendedprice").alias("hi"))
 
@@ -298,8 +296,9 @@ def w5_quantile_bins(spark, folder):
 SELECT len(list_filter(list_distinct(q.a), lambda x: x < l_quantity)) + 1 AS bin_a, len(list_filter(list_distinct(q.b), lambda x: x < l_extendedprice)) + 1 AS bin_b, count(*) AS n FROM lineitem, q WHERE l_quantity IS NOT NULL AND l_extendedprice IS NOT NULL GROUP BY 1, 2""")
 def w6_two_way_bins(spark, folder):
     rows = table(spark, folder, LINE).where("l_quantity is not null and l_extendedprice is not null").groupBy("l_quantity", "l_extendedprice").agg(F.count("*").alias("n"))
-    quarters = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
-    edges = rows.agg(F.percentile("l_quantity", quarters, F.col("n")).alias("a"), F.percentile("l_extendedprice", quarters, F.col("n")).alias("b"))  # one row
+    quarters = [0.25, 0.5, 0.75]
+    a, b = (tb.exact_quantiles(table(spark, folder, LINE), c, quarters).select(F.col("q").alias(n)) for c, n in (("l_quantity", "a"), ("l_extendedprice", "b")))
+    edges = a.join(b)  # one row each
     b = rows.join(F.broadcast(edges))
     a_, b_ = tb.binned(F.col("l_quantity"), F.col("a")), tb.binned(F.col("l_extendedprice"), F.col("b"))
     return b.groupBy(a_.cast("bigint").alias("bin_a"), b_.cast("bigint").alias("bin_b")).agg(F.sum("n").alias("n"))
