@@ -45,10 +45,10 @@ def pattern_positions(seq: Column, pattern: str) -> Column:
     """Positions, from 1, of all matches of a plain pattern, overlapping ones included, ascending."""
     parts = F.split(seq, f"(?={pattern_regex(pattern)})")
     start = F.struct(F.lit(1).alias("at"), F.array().cast("array<int>").alias("found"))
-    match = f"^{pattern_regex(pattern)}"
+    first = seq.rlike(f"^{pattern_regex(pattern)}")
 
-    def step(acc: Column, part: Column) -> Column:
-        found = F.when(part.rlike(match), F.concat(acc["found"], F.array(acc["at"]))).otherwise(acc["found"])
+    def step(acc: Column, part: Column) -> Column:  # every part but the first begins at a match
+        found = F.when((acc["at"] > 1) | first, F.concat(acc["found"], F.array(acc["at"]))).otherwise(acc["found"])
         return F.struct((acc["at"] + F.length(part)).alias("at"), found.alias("found"))
 
     return F.aggregate(parts, start, step, lambda acc: acc["found"])

@@ -22,7 +22,7 @@ def per_row(f, returns: str, *columns: Column) -> Column:
     @F.pandas_udf(returns)
     def run(*args: pd.Series) -> pd.Series:
         rows = zip(*args, strict=True)
-        return pd.Series([None if any(pd.isna(v) for v in r) else f(*r) for r in rows], dtype=object if returns.startswith("array") else None)
+        return pd.Series([None if any(v is None or v != v for v in r if not isinstance(v, np.ndarray)) else f(*r) for r in rows], dtype=object if returns.startswith("array") else None)
 
     return run(*columns)
 
@@ -304,18 +304,21 @@ def detectable_auc(n1: int, n2: int, power: float = 0.8, alpha: float = 0.05) ->
 
 
 def moderated_t(sums: DataFrame, mean: str, variance: str, df: str, n: str) -> DataFrame:
-    """Moderated t of per-probe means: variances are shrunk towards a prior whose two parameters come from the moments of log variances."""
-    z = F.ln(variance) - F.lit(0.0)
+    """Moderated t of per-probe means: each variance is shrunk towards a prior whose two parameters come from the moments of log variances.
+
+    Probes may differ in degrees of freedom. Probes without variance take no part in the
+    prior. One aggregation; an empty table gives an empty result.
+    """
     d = F.col(df).cast("double")
-    dof = sums.agg(F.max(df)).first()[0]
-    if dof is None:
+    centred = F.ln(variance) - per_row(lambda k: sp.digamma(k / 2) - math.log(k / 2), "double", d)
+    spread = per_row(lambda k: sp.trigamma(k / 2), "double", d)
+    ok = sums.where((F.col(variance) > 0) & (d > 0)).select(centred.alias("z"), spread.alias("s"))
+    m = ok.agg(F.avg("z"), F.var_samp("z"), F.avg("s")).first()
+    if m[0] is None:
         return sums.select("*", *(F.lit(None).cast("double").alias(c) for c in ("t", "p_value")))
-    shift = sp.digamma(dof / 2) - math.log(dof / 2)
-    m = sums.where(F.col(variance) > 0).agg(F.avg(z), F.var_samp(z), F.count("*")).first()
-    e = m[0] - shift
-    left = (m[1] or 0.0) - sp.trigamma(dof / 2)
+    left = (m[1] or 0.0) - m[2]
     d0 = 2 * sp.trigamma_inverse(left) if left > 1e-9 else math.inf
-    s0 = math.exp(e + sp.digamma(d0 / 2) - math.log(d0 / 2)) if math.isfinite(d0) else math.exp(e)
+    s0 = math.exp(m[0] + sp.digamma(d0 / 2) - math.log(d0 / 2)) if math.isfinite(d0) else math.exp(m[0])
     shrunk = F.lit(s0) if not math.isfinite(d0) else (F.lit(d0 * s0) + d * F.col(variance)) / (d + F.lit(d0))
     t = F.col(mean) / F.sqrt(shrunk / F.col(n))
     total = d + F.lit(min(d0, 1e9))

@@ -13,7 +13,7 @@ REG = Registry()
 
 #: A small matrix, rows A C G T, that stands for a core with a fuzzy end.
 CORE = np.array([[0.05, 0.05, 0.85, 0.05], [0.7, 0.1, 0.1, 0.1], [0.05, 0.85, 0.05, 0.05], [0.1, 0.1, 0.1, 0.7], [0.3, 0.2, 0.3, 0.2]])
-WEIGHTS = np.round(sq.log_odds(CORE), 6)
+WEIGHTS = np.round(sq.log_odds(CORE), 4)
 
 
 @REG.add("q1_both_strands", f"WITH {DNA} SELECT doc_id, CAST((length(seq) - length(replace(seq, 'ACGTG', ''))) / 5 + (length(seq) - length(replace(seq, 'CACGT', ''))) / 5 AS BIGINT) AS n FROM dna")
@@ -195,10 +195,10 @@ def q22_tail_run(spark, folder):
     return table(spark, folder, "fimo").select("hit_id", sq.tail_run(F.col("matched_sequence"), "AGR").cast("bigint").alias("run"))
 
 
-@REG.add("q23_formatting", "SELECT match_id, printf('%.2e', p_value) AS three_digits, printf('%.3f', e_value) AS fixed FROM tomtom WHERE p_value IS NOT NULL AND NOT isnan(p_value) AND e_value IS NOT NULL")
+@REG.add("q23_formatting", "SELECT match_id, printf('%.2e', p_value) AS three_digits, printf('%.4e', e_value) AS fixed FROM tomtom WHERE p_value IS NOT NULL AND NOT isnan(p_value) AND e_value IS NOT NULL")
 def q23_formatting(spark, folder):
     t = table(spark, folder, "tomtom").where("p_value is not null and not isnan(p_value) and e_value is not null")
-    return t.select("match_id", F.format_string("%.2e", "p_value").alias("three_digits"), F.format_string("%.3f", "e_value").alias("fixed"))
+    return t.select("match_id", F.format_string("%.2e", "p_value").alias("three_digits"), F.format_string("%.4e", "e_value").alias("fixed"))
 
 
 @REG.add("q24_strands_apart", f"WITH {DNA}, f AS (SELECT contains(seq, 'ACGTG') AS fwd, contains(seq, 'ACGTG') OR contains(seq, 'CACGT') AS any_strand FROM dna) SELECT fwd, any_strand, count(*) AS n FROM f GROUP BY 1, 2")
