@@ -135,11 +135,12 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
 
 def chi_square(df: DataFrame, row: str, column: str) -> DataFrame:
     """One row: the statistic, degrees of freedom and p of the two columns' table."""
-    cells = df.where(F.col(row).isNotNull() & F.col(column).isNotNull()).groupBy(row, column).agg(F.count("*").alias("o"))
-    r, c = cells.groupBy(row).agg(F.sum("o").alias("r")), cells.groupBy(column).agg(F.sum("o").alias("c"))
-    n = cells.agg(F.sum("o").alias("n"), F.count_distinct(row).alias("nr"), F.count_distinct(column).alias("nc"))  # one row
+    both = df.where(F.col(row).isNotNull() & F.col(column).isNotNull()).select(F.col(row).alias("_a"), F.col(column).alias("_b"))
+    cells = both.groupBy("_a", "_b").agg(F.count("*").alias("o"))
+    r, c = cells.groupBy("_a").agg(F.sum("o").alias("r")), cells.groupBy("_b").agg(F.sum("o").alias("c"))
+    n = cells.agg(F.sum("o").alias("n"), F.count_distinct("_a").alias("nr"), F.count_distinct("_b").alias("nc"))  # one row
     # sum of (o - e)^2 / e over all cells, empty ones included, is n (sum of o^2 / (r c) - 1)
-    s = cells.join(r, row).join(c, column).agg(F.sum(F.col("o") * F.col("o") / (F.col("r") * F.col("c"))).alias("s")).join(n)
+    s = cells.join(r, "_a").join(c, "_b").agg(F.sum(F.col("o") * F.col("o") / (F.col("r") * F.col("c"))).alias("s")).join(n)
     x, k = F.col("n") * (F.col("s") - 1), (F.col("nr") - 1) * (F.col("nc") - 1)
     return s.select(x.alias("statistic"), k.alias("df"), per_row(lambda x, k: sp.chi2_sf(x, k), "double", x, k).alias("p_value"))
 

@@ -45,6 +45,7 @@ def exact_quantiles(df: DataFrame, column: str, shares: list[float], group: list
 
     Values are counted, the counts prefix-summed in a range-sorted scan, and each
     quantile's two neighbours are found by their running count: no group is sorted in one task.
+    Without groups there is one row, of nulls for a table without values.
     """
     group = group or []
     ok = F.col(column).isNotNull() & ~F.isnan(F.col(column).cast("double"))

@@ -70,7 +70,7 @@ def test_adjusted(spark):
 
 
 def test_rank_sum_matches_pairs(spark):
-    a, b = [1.0, 4, 4, 7, 9], [2.0, 4, 5, 5]
+    a, b = [1.0, 4.0, 4.0, 7.0, 9.0], [2.0, 4.0, 5.0, 5.0]
     df = spark.createDataFrame([(v, True) for v in a] + [(v, False) for v in b] + [(None, True), (float("nan"), False), (3.0, None)], "x double, g boolean")
     r = st.wilcoxon(st.rank_sums(df, "x", F.col("g"))).first()
     u = sum((x > y) + 0.5 * (x == y) for x in a for y in b)
@@ -130,7 +130,7 @@ def test_logistic_model_meets_its_scores(spark):
 
 
 def test_welch_and_splits(spark):
-    a, b = [1.0, 2, 3, 4], [2.0, 6, 7]
+    a, b = [1.0, 2.0, 3.0, 4.0], [2.0, 6.0, 7.0]
     df = spark.createDataFrame([(v, True) for v in a] + [(v, False) for v in b], "x double, g boolean")
     r = st.welch(df, "x", F.col("g")).first()
     va, vb = np.var(a, ddof=1) / 4, np.var(b, ddof=1) / 3

@@ -32,7 +32,8 @@ def test_exact_quantiles(spark, values):
         lo = int(h)
         assert q == pytest.approx(s[lo] + (h - lo) * (s[min(lo + 1, len(s) - 1)] - s[lo]))
     assert got[2] == pytest.approx(stats.median(values))
-    assert tb.exact_quantiles(df.limit(0), "x", [0.5]).collect() == []
+    assert [tuple(r) for r in tb.exact_quantiles(df.limit(0), "x", [0.5]).collect()] == [([None],)]
+    assert tb.exact_quantiles(df.limit(0), "x", [0.5], ["g"]).collect() == []
 
 
 def test_bins_sets_halves_and_lines(spark, rows):
