@@ -121,7 +121,7 @@ def top_items(
     def read(batches):
         for batch in batches:
             for file in batch.column("path").to_pylist():
-                best, _, _ = read_top(file, "_group", "_score", keys, [*by, "_item"], [*ascending, True], n)
+                best, _, _ = read_top(file, "_group", "_score", ["_score", *keys], [*by, "_item"], [*ascending, True], n)
                 if best is not None:
                     yield pa.RecordBatch.from_pandas(best[columns], schema=arrow, preserve_index=False)
 
