@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from itertools import pairwise
 
 import numpy as np
@@ -240,7 +241,7 @@ def scan(df: DataFrame, seq: str, keep: list[str], weights: np.ndarray, most_p:
     return rows.mapInArrow(hits, out)
 
 
-def dinucleotide_shuffle(seq: str, rng: np.random.Generator) -> str:
+def dinucleotide_shuffle(seq: str, rng: random.Random) -> str:
     """A random sequence with the same count of every pair of neighbours: a random Eulerian path from the first letter to the last."""
     if len(seq) < 3:
         return seq
@@ -249,7 +250,7 @@ def dinucleotide_shuffle(seq: str, rng: np.random.Generator) -> str:
     for a, b in pairwise(seq):
         after.setdefault(a, []).append(b)
     while True:  # last edges must lead every letter to the end: draw until they do
-        exits = {a: outs[rng.integers(len(outs))] for a, outs in after.items() if a != last}
+        exits = {a: rng.choice(outs) for a, outs in after.items() if a != last}
         reached = {last}
         while True:
             more = {a for a, b in exits.items() if b in reached and a not in reached}
@@ -263,7 +264,7 @@ def dinucleotide_shuffle(seq: str, rng: np.random.Generator) -> str:
         rest = list(outs)
         if a != last:
             rest.remove(exits[a])
-        rest = [rest[i] for i in rng.permutation(len(rest))]
+        rng.shuffle(rest)
         order[a] = rest + ([exits[a]] if a != last else [])
     out, here = [seq[0]], seq[0]
     used = dict.fromkeys(order, 0)
@@ -277,8 +278,6 @@ def dinucleotide_shuffle(seq: str, rng: np.random.Generator) -> str:
 
 def shuffled(df: DataFrame, name: str, seq: str, copies: int, seed: int) -> DataFrame:
     """(name, copy, shuffled): ``copies`` shuffles of each sequence that keep neighbour counts; the seed and the name fix them."""
-    import zlib
-
     rows = df.where(F.col(seq).isNotNull()).select(name, F.col(seq).alias("_seq"))
     out = T.StructType([rows.schema[0], *T.StructType.fromDDL("copy int, shuffled string").fields])
 
@@ -288,10 +287,9 @@ def shuffled(df: DataFrame, name: str, seq: str, copies: int, seed: int) -> Data
             at, copy, new = [], [], []
             for i, (n, s) in enumerate(zip(names, seqs, strict=True)):
                 for c in range(copies):
-                    rng = np.random.default_rng([seed, zlib.crc32(str(n).encode()), c])
                     at.append(i)
                     copy.append(c + 1)
-                    new.append(dinucleotide_shuffle(s, rng))
+                    new.append(dinucleotide_shuffle(s, random.Random(f"{seed}|{n}|{c}")))
             if at:
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array(copy, pa.int32()), pa.array(new)], names=out.fieldNames())
 

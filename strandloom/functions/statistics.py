@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import math
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -92,21 +93,27 @@ def wilcoxon(sums: DataFrame) -> DataFrame:
     return sums.select("*", u.alias("u"), z.alias("z"), (u / (n1 * n2)).alias("auroc"), p.alias("p_value"))
 
 
+@lru_cache(maxsize=64)
+def _signed_rank_law(n: int) -> np.ndarray:
+    """Probabilities of the sums of ranks 1 to n with random signs."""
+    ways = np.zeros(n * (n + 1) // 2 + 1)
+    ways[0] = 1
+    for r in range(1, n + 1):
+        ways[r:] = ways[r:] + ways[:-r]
+    return ways / ways.sum()
+
+
 def signed_rank_exact(values: list[float], mu: float = 0.0) -> tuple[float, float]:
     """One-sample signed-rank test: (V, exact two-sided p without ties, else the normal approximation)."""
     d = np.array([v - mu for v in values if v is not None and not math.isnan(v) and v != mu])
     n = len(d)
     if n == 0:
         return 0.0, 1.0
-    order = pd.Series(np.abs(d)).rank().to_numpy()
+    _, at, counts = np.unique(np.abs(d), return_inverse=True, return_counts=True)
+    order = (np.cumsum(counts) - (counts - 1) / 2)[at]
     v = float(order[d > 0].sum())
-    _, counts = np.unique(np.abs(d), return_counts=True)
     if n < 50 and counts.max() == 1:
-        ways = np.zeros(n * (n + 1) // 2 + 1)
-        ways[0] = 1
-        for r in range(1, n + 1):
-            ways[r:] = ways[r:] + ways[:-r]
-        p = ways / ways.sum()
+        p = _signed_rank_law(n)
         low, high = p[: int(v) + 1].sum(), p[int(v) :].sum()
         return v, float(min(1.0, 2 * min(low, high)))
     mean, var = n * (n + 1) / 4, n * (n + 1) * (2 * n + 1) / 24 - float((counts**3 - counts).sum()) / 48

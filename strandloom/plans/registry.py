@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from strandloom.plans import interval_queries, packed_and_intervals, resampling_queries, sequence_queries, source_queries, statistics_queries, streaming_queries, table_queries
+from strandloom.plans import interval_queries, packed_and_intervals, read_queries, resampling_queries, sequence_queries, source_queries, statistics_queries, streaming_queries, table_queries
 
-_MODULES = (packed_and_intervals, interval_queries, table_queries, sequence_queries, statistics_queries, resampling_queries, source_queries, streaming_queries)
+_MODULES = (packed_and_intervals, interval_queries, table_queries, sequence_queries, statistics_queries, resampling_queries, read_queries, source_queries, streaming_queries)
 
 
 def queries() -> dict:

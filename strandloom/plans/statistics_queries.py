@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 
-import pandas as pd
 from pyspark.sql import functions as F
 
 from strandloom.functions import special as sp
@@ -115,16 +114,11 @@ def st5_st6_rank_sum(spark, folder):
 
 @REG.add("st5_signed_rank")
 def st5_signed_rank(spark, folder):
-    """One-sample signed-rank tests of each user's event values, few per user and hour, against 10."""
-    e = table(spark, folder, "events").where("value is not null")
-    schema = "user_id bigint, day int, n int, v double, p_value double"
-
-    def test(pdf: pd.DataFrame) -> pd.DataFrame:
-        v, p = st.signed_rank_exact(pdf["value"].tolist(), 10.0)
-        return pd.DataFrame({"user_id": [pdf["user_id"].iloc[0]], "day": [pdf["day"].iloc[0]], "n": [len(pdf)], "v": [v], "p_value": [p]})
-
-    # a user's day is what one person does in a day: a group that does not grow with the table
-    return e.select("user_id", F.dayofyear("ts").alias("day"), "value").groupBy("user_id", "day").applyInPandas(test, schema)
+    """One-sample signed-rank tests of what each user did in a day, a group that doesn't grow with the table, against 10."""
+    e = table(spark, folder, "events").where("value is not null").groupBy("user_id", F.dayofyear("ts").alias("day"))
+    values = e.agg(F.sort_array(F.collect_list("value")).alias("v"))
+    test = st.per_row(lambda v: list(st.signed_rank_exact(list(v), 10.0)), "array<double>", F.col("v"))
+    return values.withColumn("t", test).select("user_id", "day", F.size("v").alias("n"), F.col("t")[0].alias("v"), F.col("t")[1].alias("p_value"))
 
 
 @REG.add("st7_spearman", """WITH o AS (SELECT o_totalprice AS x, n AS y FROM orders JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey WHERE o_totalprice IS NOT NULL),
