@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strandloom.session import materialize
+
 #: Fixed values of the data's format: what stands for a missing value, and the marks that wrap a list.
 PLACEHOLDERS = frozenset(("NA", "null", "-"))
 BRACKETS = {"(": ")", "[": "]", "{": "}"}
@@ -154,7 +156,7 @@ def value_codes(fields: DataFrame, field: str) -> dict[int, float]:
     """Bits of the most frequent values over all fields, by the value's hash: counted where the rows are, summed by value.
 
     Values come from every parse a field allows; a field counts a value once. At most
-    CODED rows of two numbers reach the driver.
+    CODED rows of two numbers reach the driver; values of equal magnitude are all coded or none.
     """
 
     def count(batches):
@@ -170,7 +172,15 @@ def value_codes(fields: DataFrame, field: str) -> dict[int, float]:
         yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.int64()), pa.array(seen.values(), pa.int64())], names=["value", "n"])
 
     counted = fields.select(field).mapInArrow(count, "value bigint, n bigint").groupBy("value").agg(F.sum("n").alias("n"))
-    got = counted.where("n > 1").orderBy(F.col("n").desc(), "value").limit(CODED).toPandas()
+    counted = materialize(counted.where("n > 1"))
+    # the counts' magnitudes, at most 64 rows, tell from which count on the values are few enough: no sort, no top list in one task
+    sizes = {r["k"]: r["c"] for r in counted.groupBy(F.floor(F.log2("n")).alias("k")).agg(F.count("*").alias("c")).collect()}
+    least, kept = 64, 0
+    for k in sorted(sizes, reverse=True):
+        if kept + sizes[k] > CODED:
+            break
+        least, kept = k, kept + sizes[k]
+    got = counted.where(F.col("n") >= F.lit(2.0**least)).toPandas()
     total = math.log2(max(int(got["n"].sum()), 2))
     return {int(v): total - math.log2(n) for v, n in zip(got["value"], got["n"], strict=True)}
 
