@@ -20,6 +20,9 @@ from pyspark.sql import types as T
 
 from strandloom.session import materialize, new_folder, remove_folder
 
+#: New rows that wait at least before they are merged with the kept ones.
+SETTLE = 20_000
+
 #: Bytes after which Spark's writer closes a row group of a clustered file.
 ROW_GROUP = 256 * 1024
 
@@ -53,18 +56,31 @@ def read_top(path: str, group: str, score: str, alike: list[str], order: list[st
         for g in range(meta.num_row_groups):
             stats = meta.row_group(g).column(at).statistics
             top.append(stats.max if stats is not None and stats.has_min_max else np.inf)
-        full = 0
+        full, waiting, held = 0, [], 0
+
+        def settle():
+            nonlocal best, nth, waiting, held
+            if waiting:
+                best = _keep_best(pd.concat([*([] if best is None else [best]), *waiting]), group, alike, order, ascending, n)
+                counts = best.groupby(group, sort=False)[score].agg(["size", "min"])
+                nth = counts["min"][counts["size"] >= n]
+                waiting, held = [], 0
+
         for g in sorted(range(meta.num_row_groups), key=lambda g: -top[g]):
-            if best is not None:
+            if len(nth):
                 names = file.read_row_group(g, columns=[group]).column(0).combine_chunks().unique().to_pandas()
                 floor = nth.reindex(names)
                 if not floor.isna().any() and top[g] < floor.min():
                     continue
             full += 1
             rows = file.read_row_group(g).to_pandas(integer_object_nulls=True)
-            best = _keep_best(rows if best is None else pd.concat([best, rows]), group, alike, order, ascending, n)
-            counts = best.groupby(group, sort=False)[score].agg(["size", "min"])
-            nth = counts["min"][counts["size"] >= n]
+            if len(nth):  # rows strictly below their group's N-th can't come in
+                rows = rows[~(rows[score] < rows[group].map(nth))]
+            waiting.append(rows)
+            held += len(rows)
+            if best is None or held >= max(SETTLE, len(best)):  # the kept rows are sorted again only when as many new ones wait
+                settle()
+        settle()
         return best, full, meta.num_row_groups
 
 
