@@ -103,16 +103,29 @@ def dialects(field: str) -> Iterator[tuple[str | None, str, bool, str]]:
     inside = unwrap(field)
     for wrapped, text in ((True, inside), (False, field)) if inside is not None else ((False, field),):
         found = [c for c in ",;|/\t\n" if c in text] or [c for c in " " if c in text.strip()]
-        marks = ["", *(q for q in "\"'" if q in text)]
-        if len(marks) == 3:
-            marks.append("\"'")
+        marks = [q for q in "\"'" if q in text]
+        marks = [*(["\"'"] if len(marks) == 2 else []), *marks, ""]
         for quotes in marks:
             for d in (None, *found):
                 yield d, quotes, wrapped, text
 
 
-def bits(values: list[tuple[str, bool]], d: str | None, quotes: str, wrapped: bool, text: str, codes: dict[int, float] | None) -> float:
-    """Description length of a parse under a dialect; ``codes`` has the bits of known values (None: all is spelled out)."""
+def value_bits(value: str, quoted: bool, codes: dict[int, float] | None) -> float:
+    """Bits of one value: its code if it has one and that is shorter, else its letters; more if the format rules it out."""
+    if value in PLACEHOLDERS and not quoted:
+        return _PLACEHOLDER
+    spelled = 10.0 + 5.5 * len(value)
+    if not quoted and (value.count("(") != value.count(")") or not _BARE_RUN.fullmatch(value)):
+        return spelled + _FOREIGN + _FOREIGN_CHARACTER * len(_BARE_RUN.sub("", value))
+    return quoted + (spelled if codes is None else min(spelled, codes.get(_hash(value), spelled)))
+
+
+def bits(values: list[tuple[str, bool]], d: str | None, quotes: str, wrapped: bool, text: str, codes: dict[int, float] | None, known: dict | None = None) -> float:
+    """Description length of a parse under a dialect; ``codes`` has the bits of coded values (None: all is spelled out).
+
+    ``known`` keeps the bits of a field's values from dialect to dialect.
+    """
+    known = {} if known is None else known
     total = 2.0 + len(quotes) + 3.0 * wrapped
     between = len(values) - 1
     if d is None:
@@ -122,17 +135,11 @@ def bits(values: list[tuple[str, bool]], d: str | None, quotes: str, wrapped: bo
         total += _FOREIGN * max(0, between - text.count(d))
     if not values:
         return total + _FOREIGN * bool(text.strip())
-    for value, quoted in values:
-        if value in PLACEHOLDERS and not quoted:
-            total += _PLACEHOLDER
-            continue
-        spelled = 10.0 + 5.5 * len(value)
-        if not quoted and (value.count("(") != value.count(")") or not _BARE_RUN.fullmatch(value)):
-            total += spelled + _FOREIGN + _FOREIGN_CHARACTER * len(_BARE_RUN.sub("", value))
-        elif codes is None:
-            total += spelled + quoted
-        else:
-            total += min(spelled, codes.get(_hash(value), spelled)) + quoted
+    for v in values:
+        b = known.get(v)
+        if b is None:
+            b = known[v] = value_bits(*v, codes)
+        total += b
     if '"' in text or "'" in text:  # quote marks that belong to no value
         rest = _scanner(d, quotes).sub("", text)
         total += _FOREIGN * (rest.count('"') + rest.count("'"))
@@ -140,11 +147,17 @@ def bits(values: list[tuple[str, bool]], d: str | None, quotes: str, wrapped: bo
 
 
 def cheapest(field: str, codes: dict[int, float] | None) -> tuple[str, list[tuple[str, bool]]]:
-    """The winning dialect's name and its parse; equal bits: the first of ``dialects``."""
-    best = None
+    """The winning dialect's name and its parse; equal bits: the first of ``dialects``.
+
+    Where a field has quote marks, a dialect without any pays for each of them: it is
+    not tried once another has stayed below the price of one.
+    """
+    best, known = None, {}
     for d, quotes, wrapped, text in dialects(field):
+        if quotes == "" and best is not None and best[0] < _FOREIGN and ('"' in text or "'" in text):
+            continue
         values = parse(text, d, quotes)
-        cost = bits(values, d, quotes, wrapped, text, codes)
+        cost = bits(values, d, quotes, wrapped, text, codes, known)
         if best is None or cost < best[0]:
             best = cost, d, quotes, wrapped, values
     _, d, quotes, wrapped, values = best
