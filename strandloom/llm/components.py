@@ -6,10 +6,10 @@ proposed; a vertex that nobody's minimum is drops out and hangs below its minimu
 a propagation forest. The graph shrinks until only the smallest vertex of each
 component is left, and the seeds' identifiers flow down the forest, last round first.
 
-Minima are taken in an order of hashed identifiers. In the identifiers' own order a
-chain whose numbers rise along it would lose few vertices a round while its links
-multiply; in a random order every round drops most of them. The group's smallest
-identifier is found at the end.
+Vertices are numbered in an order of hashed identifiers first, and the rounds see the
+numbers only. In the identifiers' own order a chain that rises along itself would lose
+few vertices a round while its links multiply; in a random order every round drops
+most of them. The group's smallest identifier is found at the end.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandloom.operators.ordered import rank_within
 from strandloom.session import materialize
 
 
@@ -26,6 +27,13 @@ def _both_ways(edges: DataFrame) -> DataFrame:
     return edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
 
 
+def _salted(rows: DataFrame, spread: str, table: DataFrame, key: str) -> DataFrame:
+    """Join with a table of unique keys; rows of one key, which may be a third of all, are spread over eight salts."""
+    salts = F.explode(F.sequence(F.lit(0), F.lit(7)))
+    salted = rows.withColumn("_s", F.pmod(F.xxhash64(spread), F.lit(8)).cast("int"))
+    return salted.join(table.withColumn("_s", salts), [key, "_s"])
+
+
 def connected_groups(edges: DataFrame, left: str, right: str, vertex: str = "vertex", group: str = "group_id") -> DataFrame:
     """(vertex, group) for every vertex with a link to another one; the group is its smallest vertex.
 
@@ -35,10 +43,11 @@ def connected_groups(edges: DataFrame, left: str, right: str, vertex: str = "ver
     with a third of all links does not gather them in one task; the joins by vertex
     rely on adaptive execution to split such a vertex.
     """
-    kind = edges.schema[left].dataType
-    keys = [F.concat(F.hex(F.xxhash64(F.col(c).cast("string"))), F.lit("|"), F.col(c).cast("string")).alias(k) for c, k in ((left, "u"), (right, "v"))]
-    rows = edges.where(F.col(left) != F.col(right)).select(*keys)
-    graph = materialize(_both_ways(rows.where("u is not null and v is not null")))
+    rows = materialize(edges.where(F.col(left) != F.col(right)).select(F.col(left).alias("a"), F.col(right).alias("b")).distinct())
+    names = rows.select(F.col("a").alias("x")).unionByName(rows.select(F.col("b").alias("x"))).distinct()
+    numbers = materialize(rank_within(names.withColumn("h", F.xxhash64(F.col("x").cast("string"))), [], ["h", "x"], "n").select("x", "n"))
+    half = _salted(rows, "b", numbers.select(F.col("x").alias("a"), F.col("n").alias("u")), "a").select("u", "b")
+    graph = materialize(_both_ways(_salted(half, "u", numbers.select(F.col("x").alias("b"), F.col("n").alias("v")), "b").select("u", "v")))
     hung: list[DataFrame] = []
     seeds = graph.select(F.col("u").alias("w")).distinct()
     while not graph.isEmpty():
@@ -55,8 +64,6 @@ def connected_groups(edges: DataFrame, left: str, right: str, vertex: str = "ver
         named = reduce(DataFrame.unionByName, labelled).select(F.col("w").alias("above"), "g")
         labelled.append(materialize(layer.join(named, "above").select("w", "g")))
     named = reduce(DataFrame.unionByName, labelled)
-    members = named.select(F.substring_index("w", "|", 1).alias("_h"), "w", "g").select(F.expr("substring(w, length(_h) + 2)").cast(kind).alias("w"), "g")
-    # a group may hold a third of all vertices: its rows are spread over salts
-    least = members.groupBy("g").agg(F.min("w").alias("m")).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(7))))
-    salted = members.withColumn("s", F.pmod(F.xxhash64("w"), F.lit(8)).cast("int"))
-    return salted.join(least, ["g", "s"]).select(F.col("w").alias(vertex), F.col("m").alias(group))
+    members = named.join(numbers, F.col("w") == F.col("n")).select("x", "g")
+    least = members.groupBy("g").agg(F.min("x").alias("m"))
+    return _salted(members, "x", least, "g").select(F.col("x").alias(vertex), F.col("m").alias(group))

@@ -47,7 +47,7 @@ def motif_links(spark: SparkSession, folder: str) -> DataFrame:
     """(u, v): significant comparisons of two motifs, ids without surrounding blanks."""
     rows = table(spark, folder, "tomtom").where(F.col("q_value") <= Q_VALUE)
     bare = [F.regexp_replace(c, r"^[\s ]+|[\s ]+$", "").alias(k) for c, k in (("query_id", "u"), ("target_id", "v"))]
-    return rows.select(*bare).where("u <> '' and v <> '' and u <> v and not startswith(u, '#')").distinct()
+    return rows.select(*bare).where("u <> '' and v <> '' and u <> v and not startswith(u, '#')")
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
