@@ -37,8 +37,8 @@ _STOP_WORD, _STOP_NUMBER = 100, 101
 #: A first word cut short is looked up by its characters, up to this many.
 LETTERS = 8
 
-#: Fixed-length prefixes of whole texts: from 48 characters in steps of half as much again.
-GRID = tuple(int(48 * 1.5**i) for i in range(40))
+#: Fixed-length prefixes of whole texts: from 48 characters, each twice the one before.
+GRID = tuple(48 * 2**i for i in range(26))
 
 #: Marks that may stand behind a cut: blanks, dots of omission, hyphens, damage, mark-up.
 _BEHIND = re.compile("(?:[\\s\u200b\ufeff]|\u2026|\\.{2,}|(?<=\\w)[-\u2013\u2014]+(?!\\w)|\ufffd|\\[(?:\u2026|\\.{3})\\]|\\((?:\u2026|\\.{3})\\)|</?[A-Za-z][^<>]{0,80}>)+$")
