@@ -28,9 +28,9 @@ class Registry:
         return put
 
 
-def micros(ts: Column) -> Column:
+def micros(column: str) -> Column:
     """Microseconds since 1970 of a timestamp without zone."""
-    return F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', cast(ts as timestamp_ntz))") if isinstance(ts, str) else ts
+    return F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', cast({column} as timestamp_ntz))")
 
 
 def peaks(spark: SparkSession, folder: str) -> DataFrame:
