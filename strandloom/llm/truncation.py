@@ -5,8 +5,9 @@ Three self-joins by prefix, from large to small:
 * whole texts: fixed-length prefixes are hashed to find texts that may go on
   elsewhere, and their hashes at the exact length decide;
 * last units: the sentence or line a text ends in, by its first 1, 2, 3, 4 and 6
-  words (a single broken word by its letters), against the same prefixes of all units, which tell how such units run on
-  and how they end where they are whole;
+  words, against the same prefixes of all units, which tell how such units run on
+  and how they end where they are whole; the word it stops in, which may be broken,
+  only by its letters behind the words before it;
 * last words: what follows a full stop after the same word elsewhere tells an
   abbreviation or half a number from the end of a sentence.
 
@@ -18,7 +19,9 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -31,11 +34,11 @@ from strandloom.session import materialize
 LEVELS = {10: 1, 20: 2, 30: 3, 40: 4, 60: 6}
 _SECOND = 15
 _UNIT = 0
-_LETTERS = 90
+_PARENT, _LETTERS = 80, 90
 _STOP_WORD, _STOP_NUMBER = 100, 101
 
-#: A first word cut short is looked up by its characters, up to this many.
-LETTERS = 8
+#: Bits of the map of keys looked for, as a power of two; a full map costs time only.
+_MAP_BITS = 23
 
 #: Fixed-length prefixes of whole texts: from 48 characters, each twice the one before.
 GRID = tuple(48 * 2**i for i in range(26))
@@ -47,6 +50,7 @@ _FINAL = re.compile("[.!?\u3002\uff01\uff1f][)\\]\"'\u00bb\u201d\u2019]*$")
 _UNIT_EDGE = re.compile("[\\r\\n\u0085\u2028\u2029]+|(?<=[.!?)\\]\"'\u00bb\u201d\u2019])[ \\t\u00a0]+(?=[\"'\u00ab\u201c(\u00bf\u00a1]*[A-Z\u00c0-\u00d6\u00d8-\u00de\u00bf\u00a1])")
 _NUMBER = re.compile(r"\d+")
 _CAPITALS = re.compile(r"(?<![^\W\d_])[A-Z]{5,}(?![^\W\d_])")
+_CAPITAL_END = re.compile(_CAPITALS.pattern + "$")
 _TAIL = 400
 
 
@@ -98,15 +102,22 @@ def head(unit: str) -> str:
     return shape(" ".join(unit.split(None, 6)[:6]))
 
 
-def prefixes(first: str) -> list[tuple[int, str]]:
-    """(level, prefix) of a head, at each level it reaches."""
+def prefixes(first: str, stops: bool = False) -> list[tuple[int, str]]:
+    """(level, prefix) of a head, at each level it reaches; where a text ``stops`` in the head, without the last word."""
     words = first.split(" ")
-    out = [(level, " ".join(words[:k])) for level, k in LEVELS.items() if len(words) >= k]
-    if len(words) > 1:
+    n = len(words) - stops
+    out = [(level, " ".join(words[:k])) for level, k in LEVELS.items() if n >= k]
+    if n > 1:
         out.append((_SECOND, words[1]))
     return out
 
 
+def stops_in_head(unit: str) -> bool:
+    """Whether a text that ends in the unit stops in the words its head has. A run of capitals is one letter wherever it stops."""
+    words = unit.split(None, 6)
+    return len(words) <= 6 and _CAPITAL_END.search(words[-1]) is None
+
+
 def is_final(unit: str) -> bool:
     return _FINAL.search(unit[-12:]) is not None
 
@@ -119,6 +130,14 @@ def _key(level: int, text: str) -> int:
     return _hash(f"{level}|{text}")
 
 
+def _letter_keys(text: str, start: int) -> Iterator[int]:
+    """The keys of ``text`` up to each character from ``start`` on, in one pass."""
+    state = xxhash.xxh64(f"{_LETTERS}|{text[:start]}".encode("utf-8", "surrogatepass"))
+    for c in text[start:]:
+        state.update(c.encode("utf-8", "surrogatepass"))
+        yield state.intdigest() - (1 << 63)
+
+
 def _word_before(text: str, at: int) -> tuple[int, str] | None:
     """What a full stop at ``at`` stands behind: a word, or a number with the word before it."""
     before = text[max(0, at - 40) : at]
@@ -146,10 +165,10 @@ def _looked_up(unit: str) -> list[tuple[int, int]]:
     if is_final(unit):
         key = stop_key(unit)
         return [] if key is None else [(_STOP_WORD, key)]
-    first = head(unit)
-    out = [(_UNIT, _key(_UNIT, shape(unit))), *((level, _key(level, prefix)) for level, prefix in prefixes(first))]
-    if " " not in first and len(first) <= LETTERS:
-        out.append((_LETTERS, _key(_LETTERS, first)))
+    first, stops = head(unit), stops_in_head(unit)
+    out = [(_UNIT, _key(_UNIT, shape(unit))), *((level, _key(level, prefix)) for level, prefix in prefixes(first, stops))]
+    if stops:
+        out += [(_PARENT, _key(_PARENT, first.rpartition(" ")[0])), (_LETTERS, _key(_LETTERS, first))]
     return out
 
 
@@ -161,16 +180,18 @@ def _scan(texts: DataFrame) -> DataFrame:
     sentence, and one that doesn't. Open ones come with their text's hash, for a cut text
     sent again is no evidence that its end is one. Keys of last units tell in which
     texts they stand alike; keys of stops count ends and goings-on. Counts are summed
-    per batches first, so that only different prefixes are sent on.
+    per batches first, so that only different prefixes are sent on. Rows with ``head``
+    instead of a key have the heads themselves, for look-ups by letters; ``final`` is
+    whether a text stops in the head.
     """
-    ddl = "level int, key bigint, final boolean, `whole` bigint, `open` bigint, text bigint"
+    ddl = "level int, key bigint, final boolean, `whole` bigint, `open` bigint, text bigint, head string"
     schema = T.StructType([T.StructField("_i", texts.schema["_i"].dataType), *T.StructType.fromDDL(ddl).fields])
     names = schema.fieldNames()
 
     def scan(batches):
         whole: Counter[str] = Counter()
         stops: Counter[tuple[int, str, bool]] = Counter()
-        open_: set[tuple[str, int]] = set()
+        open_: set[tuple[str, int, bool]] = set()
         alike: set[tuple[str, int]] = set()
         kind = None
 
@@ -179,19 +200,17 @@ def _scan(texts: DataFrame) -> DataFrame:
             for first, n in whole.items():
                 for level, prefix in prefixes(first):
                     sums[_key(level, prefix), True] += n
-                word = first.split(" ", 1)[0][:LETTERS]
-                for c in range(1, len(word) + 1):
-                    sums[_key(_LETTERS, word[:c]), True] += n
             for (level, word, goes_on), n in stops.items():
                 sums[_key(level, word), not goes_on] += n
-            texts_ = {(_key(level, prefix), h) for first, h in open_ for level, prefix in prefixes(first)}
+            texts_ = {(_key(level, prefix), h) for first, h, stopped in open_ for level, prefix in prefixes(first, stopped)}
             texts_ |= {(_key(_UNIT, s), h) for s, h in alike}
-            rows = [(k, n if w else 0, 0 if w else n, None) for (k, w), n in sums.items()] + [(k, 0, 1, h) for k, h in texts_]
+            rows = [(k, None, n if w else 0, 0 if w else n, None, None) for (k, w), n in sums.items()] + [(k, None, 0, 1, h, None) for k, h in texts_]
+            rows += [(None, False, n, 0, None, first) for first, n in whole.items()] + [(None, stopped, 0, 1, h, first) for first, h, stopped in open_]
             for x in (whole, stops, open_, alike):
                 x.clear()
-            columns = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]
-            none = [pa.nulls(len(rows), t) for t in (kind, pa.int32(), pa.bool_())]
-            return pa.RecordBatch.from_arrays([none[0], none[1], columns[0], none[2], *columns[1:]], names=names)
+            kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.string())
+            columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
+            return pa.RecordBatch.from_arrays([pa.nulls(len(rows), kind), pa.nulls(len(rows), pa.int32()), *columns], names=names)
 
         for batch in batches:
             kind = batch.column("_i").type
@@ -202,13 +221,13 @@ def _scan(texts: DataFrame) -> DataFrame:
                 inner = core(text)
                 h = None
                 found = units(inner)
-                for unit in found:
+                for k, unit in enumerate(found, 1):
                     first = head(unit)
                     if is_final(unit):
                         whole[first] += 1
                     else:
                         h = _hash(inner) if h is None else h
-                        open_.add((first, h))
+                        open_.add((first, h, k == len(found) and stops_in_head(unit)))
                     at = unit.find(".")
                     end = len(unit) - 1
                     while at >= 0:
@@ -234,7 +253,7 @@ def _scan(texts: DataFrame) -> DataFrame:
                 n = len(ends[0])
                 ids = batch.column("_i").take(pa.array(ends[0]))
                 looked = [ids, pa.array(ends[1], pa.int32()), pa.array(ends[2], pa.int64()), pa.array(ends[3])]
-                yield pa.RecordBatch.from_arrays([*looked, *(pa.nulls(n, pa.int64()) for _ in range(3))], names=names)
+                yield pa.RecordBatch.from_arrays([*looked, *(pa.nulls(n, pa.int64()) for _ in range(3)), pa.nulls(n, pa.string())], names=names)
             if len(whole) + len(open_) > 100_000:
                 yield flush()
         if whole or stops or open_ or alike:
@@ -243,6 +262,56 @@ def _scan(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(scan, schema)
 
 
+def _letter_counts(scanned: DataFrame, last: DataFrame) -> DataFrame:
+    """(key, whole, open, text) of the last words looked up by letters: units that begin with the words before and those letters.
+
+    Texts that stop at the same letters are not counted. A bit map of fixed size, of the
+    words before and of the letters looked for, keeps most other keys from being made;
+    what it lets through meets nothing in the join.
+    """
+    at = F.pmod("key", F.lit(1 << _MAP_BITS))
+    asked = last.where(F.col("level").isin(_PARENT, _LETTERS)).select(F.shiftright(at, 5).alias("at"), F.expr("shiftleft(1L, cast(pmod(key, 32) as int))").alias("bit"))
+    bits = np.zeros(1 << _MAP_BITS - 5, np.uint32)
+    for r in asked.groupBy("at").agg(F.bit_or("bit").alias("bits")).collect():  # at most a row per 32 bits, however many keys
+        bits[r["at"]] = r["bits"]
+    sent = scanned.sparkSession.sparkContext.broadcast(bits.tobytes())
+
+    def count(batches):
+        map_ = memoryview(sent.value).cast("I")
+
+        def is_asked(key):
+            k = key % (1 << _MAP_BITS)
+            return map_[k >> 5] >> (k & 31) & 1
+
+        for b in batches:
+            sums: Counter[tuple[int, int | None]] = Counter()
+            known: dict[str, bool] = {}
+            letters: dict[str, list[tuple[int, int]]] = {}
+            for first, stops, n, h in zip(*(b.column(c).to_pylist() for c in ("head", "final", "whole", "text")), strict=True):
+                end = -1
+                while end < len(first):
+                    start, end = end + 1, first.find(" ", end + 1)
+                    if end < 0:
+                        end = len(first)
+                    before = first[: max(0, start - 1)]
+                    if before not in known:
+                        known[before] = bool(is_asked(_key(_PARENT, before)))
+                    if not known[before]:
+                        continue
+                    prefix = first[:end]
+                    if prefix not in letters:
+                        keys = zip(range(start + 1, end + 1), _letter_keys(prefix, start), strict=True)
+                        letters[prefix] = [(c, k) for c, k in keys if is_asked(k)]
+                    for c, k in letters[prefix]:
+                        if not (stops and c == len(first)):
+                            sums[k, h] += n
+            if sums:
+                rows = [(k, n, int(h is not None), h) for (k, h), n in sums.items()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["key", "whole", "open", "text"])
+
+    return scanned.where("head is not null").mapInArrow(count, "key bigint, `whole` bigint, `open` bigint, text bigint")
+
+
 def strict_prefixes(df: DataFrame, item: str, text: str, finish: bool = False) -> DataFrame:
     """(item, next_char) for values that are strict prefixes of longer values elsewhere; next_char: what follows there.
 
@@ -313,31 +382,30 @@ def truncated(df: DataFrame, item: str, text: str) -> DataFrame:
     rows = df.where(F.col(item).isNotNull() & F.col(text).isNotNull()).select(F.col(item).alias("_i"), F.col(text).alias("_text"))
     scanned = materialize(_scan(rows))
     last = scanned.where(F.col("_i").isNotNull()).select("_i", "level", "key", "final")
-    per_text = scanned.where(F.col("_i").isNull()).groupBy("key", "text").agg(F.sum("whole").alias("whole"), F.sum("open").alias("open"))
+    counted = scanned.where(F.col("_i").isNull() & F.col("head").isNull()).select("key", "whole", "open", "text")
+    per_text = counted.unionByName(_letter_counts(scanned, last)).groupBy("key", "text").agg(F.sum("whole").alias("whole"), F.sum("open").alias("open"))
     once = F.when(F.col("text").isNull(), F.col("open")).otherwise(F.lit(1))
     counts = materialize(per_text.groupBy("key").agg(F.sum("whole").alias("whole"), F.sum(once).alias("open")))
     none = F.lit(None).cast("bigint")
     stops = counts.where((F.col("open") > 2 * F.col("whole")) & (F.col("open") >= 2)).select("key")
     by_stop = last.where("final").join(stops, "key", "left_semi").select("_i", F.lit("stop").alias("evidence"), none.alias("whole"), none.alias("open"))
 
-    # the unit's own text is among those counted: the others are what remains
-    looked = last.where(~F.col("final")).join(counts, "key").withColumn("open", F.col("open") - 1)
+    # the unit's own text is among those counted, but not where it stops: the others are what remains
+    looked = last.where(~F.col("final")).join(counts, "key").withColumn("open", F.col("open") - (F.col("level") != _LETTERS).cast("int"))
     seen = F.struct("level", "whole", "open")
-    words = F.col("level").isin(*LEVELS)
+    words = F.col("level").isin(*LEVELS, _LETTERS)
     second = F.col("level") == _SECOND
     by_level = F.when(words & (F.col("whole") + F.col("open") > 1), F.col("level"))
     by_any = F.when(words & (F.col("whole") + F.col("open") > 0), F.col("level"))
     judged = looked.groupBy("_i").agg(
-        F.max(F.when(F.col("level") == _UNIT, F.col("open"))).alias("alike"), F.max(F.when(F.col("level") == _LETTERS, F.col("whole"))).alias("letters"),
+        F.max(F.when(F.col("level") == _UNIT, F.col("open"))).alias("alike"),
         F.max_by(seen, by_level).alias("best"), F.max(by_level).alias("has"), F.max_by(seen, by_any).alias("any"), F.max(by_any).alias("has_any"),
         F.bool_or(second & (F.col("open") > F.col("whole"))).alias("second_ends"),
     )
     best = F.when(F.col("has").isNotNull(), F.col("best")).when(F.col("has_any").isNotNull(), F.col("any"))
-    # a single word cut short begins like no whole word: it is looked up by its letters
-    whole, open_ = F.coalesce(best["whole"], F.col("letters")), F.coalesce(best["open"], F.lit(0))
     # known by its first word only: a second word that elsewhere stands in open units speaks against it
     vetoed = (best["level"] == min(LEVELS)) & F.coalesce("second_ends", F.lit(False))
-    judged = judged.where(~F.coalesce(vetoed, F.lit(False))).select("_i", "alike", whole.alias("whole"), open_.alias("open"))
+    judged = judged.where(~F.coalesce(vetoed, F.lit(False))).select("_i", "alike", best["whole"].alias("whole"), best["open"].alias("open"))
     by_unit = judged.where("`whole` > `open` and alike <= `whole`").select("_i", F.lit("unit").alias("evidence"), "whole", "open")
 
     open_ones = last.where(~F.col("final")).select("_i").distinct().unionByName(by_stop.select("_i"))

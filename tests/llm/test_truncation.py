@@ -69,6 +69,16 @@ def test_abbreviations_and_half_numbers(spark, corpus):
     assert {5001, 5002} <= got.keys() and not {5003, 5004, 5005, 5006} & got.keys()
 
 
+def test_texts_cut_at_the_same_fragment(spark):
+    ends = ["The permutation test was run twice.", "Nobody had sequenced the library before.", "After thawing, cells were counted.", "Reads were mapped with care."]
+    whole = [(i, f"Batch {i} came late. {ends[i % 4]}") for i in range(80)]
+    cuts = ["The perm", "Nobody had seque", "After t", "Th", "Reads were mapped wi"]
+    cut = [(100 + 10 * k + j, f"{w} plates were stained. {c}") for k, c in enumerate(cuts) for j, w in enumerate(["Eleven", "Twelve", "Thirteen", "Fourteen"])]
+    closed = [(500 + j, f"{w} plates were stained.\n{c}") for j, w in enumerate(["One", "Two", "Three"]) for c in ["Keywords: hindgut, library"]]
+    got = run(spark, whole + cut + closed)
+    assert got.keys() == {i for i, _ in cut}
+
+
 def test_strict_prefixes(spark):
     long = "The library near zin4 was stained twice in the hindgut, by 3.2 % on average, and the plates went on."
     rows = [(1, long), (2, long[:70]), (3, long[:70] + "…"), (4, long), (5, long[:30]), (6, None), (7, "x" * 60), (8, "x" * 3000)]
