@@ -48,6 +48,9 @@ _BEHIND = re.compile("(?:[\\s\u200b\ufeff]|\u2026|\\.{2,}|(?<=\\w)[-\u2013\u2014
 _TAGS = re.compile(r"</?[A-Za-z][^<>]{0,80}>")
 _FINAL = re.compile("[.!?\u3002\uff01\uff1f][)\\]\"'\u00bb\u201d\u2019]*$")
 _UNIT_EDGE = re.compile("[\\r\\n\u0085\u2028\u2029]+|(?<=[.!?)\\]\"'\u00bb\u201d\u2019])[ \\t\u00a0]+(?=[\"'\u00ab\u201c(\u00bf\u00a1]*[A-Z\u00c0-\u00d6\u00d8-\u00de\u00bf\u00a1])")
+#: Breaks of lines, for Spark's regular expressions: what is whole may stand before them.
+_BREAK = "[\\r\\n\u0085\u2028\u2029]"
+_LINE_END = re.compile(f"[^\\S\\r\\n\u0085\u2028\u2029]*({_BREAK})")
 _NUMBER = re.compile(r"\d+")
 _CAPITALS = re.compile(r"(?<![^\W\d_])[A-Z]{5,}(?![^\W\d_])")
 _CAPITAL_END = re.compile(_CAPITALS.pattern + "$")
@@ -138,6 +141,12 @@ def _letter_keys(text: str, start: int) -> Iterator[int]:
         yield state.intdigest() - (1 << 63)
 
 
+def _goes_on_with(text: str, at: int) -> str:
+    """The character at ``at``, or the break of the line if only blanks stand before it."""
+    found = _LINE_END.match(text, at)
+    return found[1] if found else text[at]
+
+
 def _word_before(text: str, at: int) -> tuple[int, str] | None:
     """What a full stop at ``at`` stands behind: a word, or a number with the word before it."""
     before = text[max(0, at - 40) : at]
@@ -356,7 +365,7 @@ def strict_prefixes(df: DataFrame, item: str, text: str, finish: bool = False) -
             out = [[], [], [], []]
             for i, t, lengths, seeks in zip(b.column("_i"), b.column("_text").to_pylist(), b.column("_lengths").to_pylist(), b.column("_seeks").to_pylist(), strict=True):
                 c = core(t)
-                found = [(n, c[n]) for n in set(lengths or []) if n < len(c)]
+                found = [(n, _goes_on_with(c, n)) for n in set(lengths or []) if n < len(c)]
                 if seeks:
                     found.append((len(c), None))
                 for n, after in found:
@@ -366,7 +375,9 @@ def strict_prefixes(df: DataFrame, item: str, text: str, finish: bool = False) -
                 yield pa.RecordBatch.from_arrays([pa.array(out[0], b.column("_i").type), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string()), pa.array(out[3])], names=["_i", "_h", "_after", "_own"])
 
     hashed = materialize(texts.mapInArrow(exact, T.StructType([schema[0], *T.StructType.fromDDL("_h bigint, _after string, _own boolean").fields])))
-    longer = hashed.where(~F.col("_own")).groupBy("_h").agg(F.max("_after").alias("next_char"))
+    # of several goings-on the one that says most: a letter or digit, else what is in the line, else its break
+    inside = F.when(F.col("_after").rlike("[\\p{L}\\p{N}]"), 2).when(~F.col("_after").rlike(_BREAK), 1).otherwise(0)
+    longer = hashed.where(~F.col("_own")).groupBy("_h").agg(F.max(F.struct(inside, "_after"))["_after"].alias("next_char"))
     return hashed.where("_own").join(longer, "_h").select(F.col("_i").alias(item), "next_char")
 
 
@@ -408,9 +419,11 @@ def truncated(df: DataFrame, item: str, text: str) -> DataFrame:
     judged = judged.where(~F.coalesce(vetoed, F.lit(False))).select("_i", "alike", best["whole"].alias("whole"), best["open"].alias("open"))
     by_unit = judged.where("`whole` > `open` and alike <= `whole`").select("_i", F.lit("unit").alias("evidence"), "whole", "open")
 
-    open_ones = last.where(~F.col("final")).select("_i").distinct().unionByName(by_stop.select("_i"))
-    copies = strict_prefixes(rows, "_i", "_text").where(~F.col("next_char").rlike("[\\s]"))
-    by_text = copies.join(open_ones, "_i", "left_semi").select("_i", F.lit("text").alias("evidence"), none.alias("whole"), none.alias("open"))
+    open_ones = last.where(~F.col("final")).select("_i").distinct().unionByName(by_stop.select("_i")).withColumn("_open", F.lit(True))
+    copies = strict_prefixes(rows, "_i", "_text").where(~F.col("next_char").rlike(_BREAK))
+    # a final-looking end is none where a copy goes on directly: half a number, a name with dots
+    goes_on = F.col("_open").isNotNull() | F.col("next_char").rlike("[\\p{L}\\p{N}]")
+    by_text = copies.join(open_ones, "_i", "left").where(goes_on).select("_i", F.lit("text").alias("evidence"), none.alias("whole"), none.alias("open"))
     found = by_text.unionByName(by_unit).unionByName(by_stop)
     return found.groupBy(F.col("_i").alias(item)).agg(F.min("evidence").alias("evidence"), F.max("whole").alias("unit_whole"), F.max("open").alias("unit_open"))
 

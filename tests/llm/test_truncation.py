@@ -79,6 +79,16 @@ def test_texts_cut_at_the_same_fragment(spark):
     assert got.keys() == {i for i, _ in cut}
 
 
+def test_longer_copies_go_on_in_the_line(spark):
+    line = "Zebrafish larvae imaged overnight in agarose kept their shape"
+    number = "Quite unlike the earlier plates, these differed clearly (n = 4, p = 0."
+    closing = "Qualified staff ran all of the plates twice and froze them.\nKeywords: larvae"
+    stop = "Xenopus eggs were kept overnight and were then fixed twice."
+    rows = [(1, line), (2, line + " and colour."), (3, number), (4, number + "05) in the end."), (5, closing), (6, closing + " \nMore text."), (7, stop), (8, stop + " They were stained.")]
+    rows += [(9, line + " and"), (10, line + "\nNext line.")]
+    assert run(spark, rows) == {1: "text", 3: "text", 9: "text"}
+
+
 def test_strict_prefixes(spark):
     long = "The library near zin4 was stained twice in the hindgut, by 3.2 % on average, and the plates went on."
     rows = [(1, long), (2, long[:70]), (3, long[:70] + "…"), (4, long), (5, long[:30]), (6, None), (7, "x" * 60), (8, "x" * 3000)]
