@@ -7,11 +7,15 @@ exact in size, and nothing depends on where rows lie.
 
 from __future__ import annotations
 
+import warnings
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandloom.operators.ordered import rank_within
+from strandloom.session import materialize
 
 
 def draw(seed: int | str, *keys: Column | str) -> Column:
@@ -90,10 +94,10 @@ def bootstrap(df: DataFrame, row: str, n: int, seed: int) -> DataFrame:
     return slots.select("rep", at).groupBy("rep", "_k").agg(F.count("*").alias("copies")).join(order, "_k").select("rep", row, "copies")
 
 
-def random_windows(lengths: DataFrame, key: str, n: int, width: int, seed: int, rounds: int = 4) -> DataFrame:
+def random_windows(lengths: DataFrame, key: str, n: int, width: int, seed: int, rounds: int = 4, after: int = 0) -> DataFrame:
     """(draw_id, key, start, end): windows at positions uniform over all keys' lengths, ``rounds`` times as many as asked, in drawing order.
 
-    The caller removes what it excludes and keeps the first ``n``: a rejection loop without the loop.
+    The caller removes what it excludes and keeps the first ``n``. Draws go on behind draw ``after``.
     """
     usable = lengths.where(F.col("length") >= width)
     w = W.partitionBy(F.lit(0)).orderBy(key)  # a row per key: few
@@ -101,9 +105,23 @@ def random_windows(lengths: DataFrame, key: str, n: int, width: int, seed: int,
     ends = ends.withColumn("_from", F.col("_to") - (F.col("length") - width + 1))
     total = ends.agg(F.max("_to").alias("_all"))
     spark = lengths.sparkSession
-    ids = spark.range(1, n * rounds + 1).withColumnRenamed("id", "draw_id")
+    ids = spark.range(after + 1, after + n * rounds + 1).withColumnRenamed("id", "draw_id")
     at = F.floor(draw(seed, F.col("draw_id")) * F.col("_all"))
     drawn = ids.join(F.broadcast(total)).withColumn("_at", at)  # one row of totals
     hit = drawn.join(F.broadcast(ends), (F.col("_at") >= F.col("_from")) & (F.col("_at") < F.col("_to")))
     s = F.col("_at") - F.col("_from")
     return hit.select("draw_id", key, s.alias("start"), (s + width).alias("end"))
+
+
+def kept_windows(lengths: DataFrame, key: str, n: int, width: int, seed: int, keep: Callable[[DataFrame], DataFrame], rounds: int = 40) -> DataFrame:
+    """The first ``n`` random windows that ``keep`` lets through: up to ``rounds`` rounds of 4 ``n`` draws each, a warning if they don't suffice."""
+    found, have = None, 0
+    for k in range(rounds):
+        kept = materialize(keep(random_windows(lengths, key, n, width, seed, after=4 * n * k)).orderBy("draw_id").limit(n))
+        found = kept if found is None else found.unionByName(kept)
+        have += kept.count()
+        if have >= n:
+            break
+    else:
+        warnings.warn(f"{have} of {n} windows kept after {rounds} rounds of {4 * n} draws", stacklevel=2)
+    return found.orderBy("draw_id").limit(n)

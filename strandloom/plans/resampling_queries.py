@@ -180,9 +180,8 @@ def n16_shuffle_counts(spark, folder):
 def n17_random_windows(spark, folder):
     """The first 500 of drawn windows that overlap no peak."""
     p = peaks(spark, folder)
-    drawn = rs.random_windows(_lengths(p), "chrom", 500, 201, SEED)
-    clear = iv.overlapping(drawn, p, iv.Cols("chrom", "start", "end", "draw_id"), iv.DEFAULT, keep=False)
-    return clear.orderBy("draw_id").limit(500)
+    clear = lambda drawn: iv.overlapping(drawn, p, iv.Cols("chrom", "start", "end", "draw_id"), iv.DEFAULT, keep=False)
+    return rs.kept_windows(_lengths(p), "chrom", 500, 201, SEED, clear)
 
 
 QUERIES, SQL = REG.queries, REG.sql

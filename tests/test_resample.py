@@ -1,5 +1,6 @@
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 from strandloom.operators import resample as rs
 
@@ -43,6 +44,14 @@ def test_random_places_stay_inside(spark):
     assert len(w) == 200 and all(r["end"] - r["start"] == 25 and r["end"] <= (30 if r["k"] == "x" else 100) for r in w) and {r["k"] for r in w} == {"x", "y"}
 
 
+def test_windows_are_drawn_until_enough_are_kept(spark):
+    lengths = spark.createDataFrame([("x", 1000)], "k string, length bigint")
+    got = rs.kept_windows(lengths, "k", 20, 10, 1, lambda d: d.where(F.col("start") < 80)).collect()
+    assert len(got) == 20 and len({r["draw_id"] for r in got}) == 20 and all(r["start"] < 80 for r in got)
+    with pytest.warns(UserWarning, match="0 of 5"):
+        assert rs.kept_windows(lengths, "k", 5, 10, 1, lambda d: d.where("false"), rounds=2).count() == 0
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], "id bigint, g int")
     assert rs.permuted_labels(none, "id", "g", 2, 1).count() == 0
