@@ -24,7 +24,7 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p2_dialects(spark: SparkSession, folder: str) -> DataFrame:
-    """How many fields and genes each chosen dialect covers, per table."""
+    """How many fields and genes each chosen dialect covers, per table: separators, quote marks, wrapper."""
     genes = split_packed(gene_fields(spark, folder), "geneset_peak_genes", ["source_table", "row_id"], "value_pos", "gene_value", "dialect")
     return genes.groupBy("source_table", "dialect").agg(F.count(F.when(F.col("value_pos") == 1, 1)).alias("n_fields"), F.count("*").alias("n_genes"))
 
@@ -92,8 +92,32 @@ WITH hit AS (
 )
 """
 
+_DIALECTS = (
+    _GENES
+    + r'''
+, shape AS (
+  SELECT f.source_table, f.row_id,
+    regexp_matches(f.g, '^\s*([A-Za-z_][\w.]*)?\s*\(') AND regexp_matches(f.g, '\)\s*$') OR regexp_matches(f.g, '^\s*\[') AND regexp_matches(f.g, '\]\s*$')
+      OR regexp_matches(f.g, '^\s*\{') AND regexp_matches(f.g, '\}\s*$') AS wrapped,
+    regexp_replace(regexp_replace(i.g, '^\s*[\[{]', ''), '[\]}]\s*$', '') AS t, m.m
+  FROM field f JOIN inside i USING (source_table, row_id) JOIN mark m USING (source_table, row_id)
+), rest AS (
+  SELECT *, regexp_replace(t, '"(?:[^"]|"")*"|\'\'[^\'\']*\'\'|[\p{L}\p{N}():\-]+', '', 'g') AS r,
+    len(list_filter(m, lambda x: starts_with(x, '"'))) > 0 AS dq, len(list_filter(m, lambda x: starts_with(x, chr(39)))) > 0 AS sq FROM shape
+), named AS (
+  SELECT source_table, row_id,
+    CASE WHEN regexp_replace(r, '[\s\x{00a0}]', '', 'g') <> '' THEN array_to_string(list_sort(list_distinct(string_split(regexp_replace(r, '[\s\x{00a0}]', '', 'g'), ''))), '')
+      WHEN r <> '' THEN 'blank' ELSE 'none' END
+    || ' ' || CASE WHEN dq OR sq THEN CASE WHEN dq THEN '"' ELSE '' END || CASE WHEN sq THEN chr(39) ELSE '' END ELSE 'bare' END
+    || CASE WHEN wrapped THEN ' wrapped' ELSE '' END AS dialect
+  FROM rest
+)
+SELECT n.source_table, n.dialect, count(DISTINCT g.row_id) AS n_fields, count(*) AS n_genes FROM named n JOIN gene g USING (source_table, row_id) GROUP BY 1, 2'''.replace("\\'", "'")
+)
+
 SQL = {
     "p2_found": _GENES + "SELECT source_table, row_id, value_pos, gene_value FROM gene",
+    "p2_dialects": _DIALECTS,
     "p5_found": _BLOCKS
     + """SELECT sequence_name, strand, 'block' AS piece, f AS from_pos, t AS to_pos FROM pair
 UNION ALL SELECT sequence_name, strand, 'gap', pt + 1, f - 1 FROM pair WHERE pt IS NOT NULL AND f - 1 - pt <= 10000""",

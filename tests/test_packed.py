@@ -3,7 +3,7 @@ import re
 
 import pytest
 
-from strandloom.operators.packed import cheapest, parse, split_packed, unwrap
+from strandloom.operators.packed import Model, _hash, split_packed, tokens, undecided, unwrap, values_of
 
 RULE = re.compile(r'"(?:[^"]|"")*"|\'[^\']*\'|(?:[^\W_]|[():\-])+')
 
@@ -38,9 +38,15 @@ CASES = {
 }
 
 
+def best(field, codes=None):
+    """The values of the cheapest dialect."""
+    _, quotes, _, _, found = Model(codes).cheapest(field)
+    return values_of(found, quotes)
+
+
 @pytest.mark.parametrize("field", CASES)
 def test_cases(field):
-    assert [v for v, _ in cheapest(field, None)[1] if v not in ("NA", "null", "-")] == CASES[field]
+    assert best(field) == CASES[field]
     assert plain(field) == CASES[field]
 
 
@@ -88,6 +94,41 @@ def test_positions_and_dialects(spark, rows):
     assert "; bare" in {r["d"] for r in got.collect()}
 
 
-def test_parse_keeps_positions_of_quotes():
-    assert parse("'a b' c", None, "'") == [("a b", True), ("c", False)]
-    assert parse("a, b", ",", "") == [("a", False), ("b", False)]
+def test_tokens_keep_their_marks():
+    assert tokens("'a b' c", None, "'")[0] == ["'a b'", "c"]
+    assert tokens("a, b", ",", "")[0] == ["a", "b"]
+
+
+# fields whose first dialect is wrong, with values that other fields have; without codes each is parsed otherwise
+PLANTED = {
+    "Abd B;Ubx;fork head": (["Abd B", "Ubx", "fork head"], ["Abd", "B", "Ubx", "fork", "head"]),
+    "HLA(DRA)": (["HLA(DRA)"], ["DRA"]),
+    "ab'cd;ef'gh": (["ab'cd", "ef'gh"], ["ab", "cd;ef", "gh"]),
+}
+
+
+@pytest.mark.parametrize("field", PLANTED)
+def test_codes_decide_planted_fields(field):
+    right, plain_ = PLANTED[field]
+    assert best(field) == plain_ != right
+    assert best(field, {_hash(v): 4.0 for v in right}) == right
+
+
+def test_rare_codes_are_joined(spark, rows):
+    """Codes beyond the broadcast decide as if they were in it."""
+    fields = [*([f] for f in PLANTED), *([f'"{v}"'] for right, _ in PLANTED.values() for v in right for _ in range(30)), *([f"g{i % 90}, g{i % 89}, g{i % 83}"] for i in range(2000))]
+    df = spark.createDataFrame([(i, f[0]) for i, f in enumerate(fields)], "i int, f string")
+    all_ = rows(split_packed(df, "f", ["i"], dialect="d"))
+    few = rows(split_packed(df, "f", ["i"], dialect="d", coded=10))
+    none = rows(split_packed(df, "f", ["i"], dialect="d", coded=0))
+    assert all_ == few == none
+    got = {}
+    for i, pos, v, _ in sorted(all_):
+        got.setdefault(i, []).append(v)
+    assert [got[i] for i in range(len(PLANTED))] == [right for right, _ in PLANTED.values()]
+
+
+def test_undecided_fields_ask_for_their_values():
+    upper, lower = Model({}), Model({}, 2.0)
+    assert undecided("a1,b2,c3", upper, lower) is None
+    assert _hash("Abd B") in undecided("Abd B;Ubx", upper, lower)
