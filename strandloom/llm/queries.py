@@ -60,13 +60,18 @@ def p3_sizes(spark: SparkSession, folder: str) -> DataFrame:
     return p3_found(spark, folder).groupBy("group_id").agg(F.count("*").alias("n_motifs"))
 
 
-def p4_found(spark: SparkSession, folder: str) -> DataFrame:
-    """The three best hits of every sequence."""
+def p4_items(spark: SparkSession, folder: str, watch: dict | None = None) -> DataFrame:
+    """The three best hits of every sequence; ``watch`` gets the row groups read and skipped."""
     # the rank of a strand in the order + - . null; other marks come between . and null
     strand = F.when(F.col("strand") == "+", 0).when(F.col("strand") == "-", 1).when(F.col("strand") == ".", 2).when(F.col("strand").isNotNull(), 3)
     hits = table(spark, folder, "fimo").select("hit_id", "motif_id", "sequence_name", "start", "stop", "strand", "score", "p_value", strand.alias("strand_rank"))
     order = [("p_value", True), ("start", True), ("strand_rank", True)]
-    return top_items(hits, "sequence_name", "score", "hit_id", ["motif_id", "start", "stop", "strand", "p_value"], order, 3, "hit_rank")
+    return top_items(hits, "sequence_name", "score", "hit_id", ["motif_id", "start", "stop", "strand", "p_value"], order, 3, "hit_rank", watch=watch)
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The three best hits of every sequence."""
+    return p4_items(spark, folder)
 
 
 def sized_documents(spark: SparkSession, folder: str) -> DataFrame:

@@ -26,7 +26,7 @@ def brute(data, n):
     return sorted(out)
 
 
-@pytest.mark.parametrize("row_group", [2_000, 262_144])
+@pytest.mark.parametrize("row_group", [1_000, 262_144])
 def test_ties_nulls_and_repeats(spark, row_group):
     rng = random.Random(2)
     nan = float("nan")
@@ -35,19 +35,38 @@ def test_ties_nulls_and_repeats(spark, row_group):
         g = rng.choice(["hot"] * 5 + ["b", "c", None, *(f"g{j}" for j in range(300))])
         data.append((g, rng.choice([None, nan, 1.0, 2.0, 2.0, 3.5, -1.0]), i, rng.choice(["x", "y", None]), rng.choice([None, nan, 0.1, 0.2]), rng.choice([None, 1, 2]), 7))
     df = spark.createDataFrame(data, DDL)
-    got = top_items(df, "g", "score", "item", ["a", "s", "p"], [("p", True), ("s", True)], 3, "r", row_group)
+    got = top_items(df, "g", "score", "item", ["a", "s", "p"], [("p", True), ("s", True)], 3, "r", row_group=row_group)
     assert sorted(tuple(r) for r in got.select("g", "r", "item").collect()) == brute(data, 3)
 
 
 def test_low_row_groups_are_skipped(spark):
-    df = spark.range(0, 60_000).selectExpr("'hot' as g", "cast(id as double) as s", "id as i")
+    """A hot group is read from the row groups with its best rows; many groups with fewer than three rows block nothing."""
+    hot = spark.range(0, 60_000).selectExpr("'hot' as g", "cast(id % 5000 as double) as s", "id as i")
+    small = spark.range(0, 4_000).selectExpr("concat('k', id) as g", "cast(id as double) as s", "100000 + id as i")
     path = new_folder(spark, "test")
-    cluster_by_group(df.repartition(1), "g", "s", [], path, row_group=4_096)
+    cluster_by_group(hot.unionByName(small), "g", "s", [], "i", path, 2, 8_192)
     files = [r[0] for r in spark.read.format("binaryFile").load(path).select("path").collect() if "part-" in r[0]]
-    read = [read_top(f, "g", "s", ["s"], ["s", "i"], [False, True], 3) for f in files]
-    assert sum(r[2] for r in read) > 4
-    assert all(r[1] < r[2] for r in read if r[2] > 2)
-    assert max(r[0]["i"].max() for r in read) == 59_999
+    read = [read_top(f, "g", "s", ["s"], ["s"], "i", 3) for f in files]
+    assert sum(r[2] for r in read) > 10
+    assert sum(r[1] for r in read) < sum(r[2] for r in read) / 2
+    rows = [tuple(x.values()) for r in read for x in r[0].to_pylist() if x["g"] == "hot"]
+    assert sorted(rows, key=lambda x: -x[1])[:3] == [("hot", 4999.0, 4999), ("hot", 4998.0, 4998), ("hot", 4997.0, 4997)]
+    assert sum(x["g"] != "hot" for r in read for x in r[0].to_pylist()) == 4_000
+
+
+def test_the_shipped_table_skips(spark, data):
+    from strandloom.llm.queries import p4_items
+
+    seen = {}
+    got = p4_items(spark, data.replace("sf0.001", "sf0.01"), seen)
+    assert got.count() > 0
+    assert seen["read"] < seen["all"]
+
+
+def test_ties_keep_the_smallest_items(spark):
+    df = spark.range(0, 5_000).selectExpr("'t' as g", "1.0D as s", "5000 - id as i", "cast(id as string) as a", "cast(null as double) as p")
+    got = top_items(df, "g", "s", "i", ["a"], [("p", True)], 3, "r", files=3, row_group=2_000)
+    assert sorted((x["r"], x["i"]) for x in got.collect()) == [(1, 1), (2, 2), (3, 3)]
 
 
 def test_empty(spark):
