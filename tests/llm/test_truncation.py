@@ -91,9 +91,9 @@ def test_longer_copies_go_on_in_the_line(spark):
 
 def test_strict_prefixes(spark):
     long = "The library near zin4 was stained twice in the hindgut, by 3.2 % on average, and the plates went on."
-    rows = [(1, long), (2, long[:70]), (3, long[:70] + "…"), (4, long), (5, long[:30]), (6, None), (7, "x" * 60), (8, "x" * 3000)]
+    rows = [(1, long), (2, long[:70]), (3, long[:70] + "…"), (4, long), (5, long[:30]), (6, None), (9, long[:3]), (10, "x"), (11, "Th"), (7, "x" * 60), (8, "x" * 3000)]
     df = spark.createDataFrame(rows, "i int, t string")
-    assert sorted(tuple(r) for r in tr.strict_prefixes(df, "i", "t").collect()) == [(2, long[70]), (3, long[70]), (7, "x")]
+    assert sorted(tuple(r) for r in tr.strict_prefixes(df, "i", "t").collect()) == [(2, long[70]), (3, long[70]), (5, long[30]), (7, "x"), (9, " "), (10, "x"), (11, "e")]
     assert tr.strict_prefixes(df.limit(0), "i", "t").collect() == []
 
 
@@ -110,4 +110,38 @@ def test_very_long_text_and_rates(spark, corpus):
 def test_units():
     assert tr.units("A b. C d! (E f.)\nG: h\r\n\r\n<p>I j.</p>") == ["A b.", "C d!", "(E f.)", "G: h", "I j."]
     assert tr.core("ab c… </p>\n") == "ab c" and tr.core("ab-") == "ab" and tr.core("a -") == "a -" and tr.core("…") == ""
-    assert tr.shape("chr3R:12-40 TTGACA is 4.5") == "chr#R:#-# W is #.#"
+    assert tr.shape("chr3R:12-40 TTGACA is 4.5") == f"chr#R:#-# {tr._RUN} is #.#"
+
+
+def test_sorted_neighbours_find_strict_prefixes(spark):
+    rng = random.Random(4)
+    asked = ["".join(rng.choice("ab ") for _ in range(rng.randrange(1, 6))) for _ in range(300)]
+    longer = ["".join(rng.choice("ab ") for _ in range(rng.randrange(1, 9))) for _ in range(200)]
+    a = spark.createDataFrame(list(enumerate(asked)), "item int, shape string").repartition(5)
+    b = spark.createDataFrame([(x,) for x in longer], "shape string")
+    got = sorted(r[0] for r in tr.prefixes_among(a, b, "shape", "item").collect())
+    assert got == [i for i, x in enumerate(asked) if any(y.startswith(x) and y != x for y in longer)]
+    assert tr.prefixes_among(a.limit(0), b, "shape", "item").collect() == []
+
+
+def test_prefixes_of_whole_units(spark):
+    """A cut unit whose beginning stands whole elsewhere, once; the same unit with a full stop is no going-on."""
+    cut = "Twelve plates came. At stage 12 the late signal near the summit was still wea"
+    note = "Nine plates came.\nwaiting for batch 3 of the late plates from the old bench"
+    rows = [(1, cut), (2, "At stage 7 the late signal near the summit was still weaker than before."), (3, note), (4, "Ten plates. waiting for batch 30 of the late plates from the old bench.")]
+    assert run(spark, rows) == {1: "prefix"}
+
+
+def test_last_unit_is_the_last_of_all(corpus):
+    rng = random.Random(6)
+    rows, _ = corpus
+    for _ in range(400):
+        text = "".join(rng.choice([t, "<p>", "</b>\n", '"A b) ', "(see fig. 3) ", ".) ", "\n\n", "x" * rng.randrange(900)]) for _, t in rng.sample(rows, 6))
+        c = tr.core(text)
+        assert tr.last_unit(c) == (tr.units(c) or [""])[-1]
+
+
+def test_long_words_before_stops():
+    word = "a" * 90
+    assert tr.stop_key(f"x {word}.") == tr.stop_key(f"and y {word}.") != tr.stop_key(f"x {word[1:]}.")
+    assert tr.is_final("A b." + ")" * 30) and not tr.is_final("A b" + ")" * 30) and not tr.is_final("")
