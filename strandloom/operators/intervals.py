@@ -1,10 +1,11 @@
 """Interval algebra over half-open intervals ``[start, end)``.
 
 A range condition alone gives Spark one equi key, the chromosome, and so as many
-tasks as there are chromosomes. Here the right side's intervals each get the one
-bin, of a hierarchy of widths, that holds them, the left side's are met by all
-their bins at every width, and the join is an equi join on key, level and bin with the
-range as residue. Pairs come once; long intervals cost few rows.
+tasks as there are chromosomes. Here every interval gets the one bin, of a hierarchy of
+widths, that holds it. Where two intervals overlap, one's bin holds the other's, so the
+join is an equi join of own bins with the bins above them, either way round, with the range as
+residue. Pairs come once; an interval of any length costs at most one row a level. Counts and
+existence need no pairs: they come from a scan over starts and ends.
 """
 
 from __future__ import annotations
@@ -16,11 +17,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandloom.operators.islands import blocks_and_gaps
+from strandloom.operators.ordered import prefix_sum_within
 
 #: Bins grow by this factor from level to level.
 _STEP = 8
 _LEVELS = 8
 
+#: Bins of a stretch in the search for nearest intervals.
+_FAR = 4096
+
 
 @dataclass(frozen=True)
 class Cols:
@@ -54,15 +59,11 @@ def _own_bin(start: Column, end: Column, width: int) -> Column:
     return found
 
 
-def _met_bins(start: Column, end: Column, width: int) -> Column:
-    """All bins of all levels that the interval meets."""
-    last = F.greatest(end - 1, start)
-    top = F.array(F.struct(F.lit(_LEVELS).alias("level"), F.lit(0).cast("bigint").alias("bin")))
-
-    def met(level: int, w: int) -> Column:
-        return F.transform(F.sequence(F.floor(start / w), F.floor(last / w)), lambda x: F.struct(F.lit(level).alias("level"), x.alias("bin")))
-
-    return F.flatten(F.array(top, *(met(level, w) for level, w in enumerate(_widths(width)))))
+def _bins_above(start: Column, own: Column, width: int) -> Column:
+    """The own bin and those of higher levels that hold it: at most one a level."""
+    levels = [*enumerate(_widths(width)), (_LEVELS, None)]
+    bins = (F.struct(F.lit(k).alias("level"), (F.lit(0).cast("bigint") if w is None else F.floor(start / w)).alias("bin")) for k, w in levels)
+    return F.filter(F.array(*bins), lambda x: x["level"] >= own["level"])
 
 
 def overlap_pairs(
@@ -79,27 +80,57 @@ def overlap_pairs(
     right = usable(b, cb).select(*(F.col(x).alias(f"b_{x}") for x in b.columns))
     s, e = F.col(f"a_{ca.start}") - reach, F.col(f"a_{ca.end}") + reach
     t, f = F.col(f"b_{cb.start}"), F.col(f"b_{cb.end}")
-    left = left.withColumn("_b", F.explode(_met_bins(s, e, width)))
-    right = right.withColumn("_o", _own_bin(t, f, width))
-    meet = (F.col(f"a_{ca.key}") == F.col(f"b_{cb.key}")) & (F.col("_b.level") == F.col("_o.level")) & (F.col("_b.bin") == F.col("_o.bin"))
+    left, right = left.withColumn("_o", _own_bin(s, e, width)), right.withColumn("_p", _own_bin(t, f, width))
+    # levels in use, at most nine a side: bins of other levels are not made
+    used_a = left.agg(F.collect_set("_o.level").alias("l")).scalar()
+    used_b = right.agg(F.collect_set("_p.level").alias("l")).scalar()
+    up = F.transform(F.filter(_bins_above(s, F.col("_o"), width), lambda x: F.array_contains(F.col("_u"), x["level"])), lambda x: F.struct(x["level"].alias("level"), x["bin"].alias("bin"), F.lit(0).alias("way")))
+    own_a = F.array(F.struct(F.col("_o.level").alias("level"), F.col("_o.bin").alias("bin"), F.lit(1).alias("way")))
+    left = left.withColumn("_u", used_b).withColumn("_b", F.explode(F.concat(up, own_a))).drop("_u", "_o")
+    over = F.filter(_bins_above(t, F.col("_p"), width), lambda x: (x["level"] > F.col("_p.level")) & F.array_contains(F.col("_u"), x["level"]))
+    over = F.transform(over, lambda x: F.struct(x["level"].alias("level"), x["bin"].alias("bin"), F.lit(1).alias("way")))
+    own_b = F.array(F.struct(F.col("_p.level").alias("level"), F.col("_p.bin").alias("bin"), F.lit(0).alias("way")))
+    right = right.withColumn("_u", used_a).withColumn("_o", F.explode(F.concat(own_b, over))).drop("_u", "_p")
+    meet = F.col(f"a_{ca.key}") == F.col(f"b_{cb.key}")
+    for x in ("level", "bin", "way"):
+        meet = meet & (F.col(f"_b.{x}") == F.col(f"_o.{x}"))
     meet = meet & (s < f) & (t < e)
     if within:
         meet = meet & (t <= F.col(f"a_{ca.start}")) & (F.col(f"a_{ca.end}") <= f)
     return left.join(right, meet).drop("_b", "_o")
 
 
-def overlap_counts(a: DataFrame, b: DataFrame, ca: Cols = DEFAULT, cb: Cols = DEFAULT, max_gap: int | None = None, width: int = 1024, into: str = "n_overlaps") -> DataFrame:
-    """``a`` with the number of rows of ``b`` each row overlaps; rows that overlap none have 0. ``ca.id`` must tell rows apart."""
-    hits = overlap_pairs(a.select(ca.id, ca.key, ca.start, ca.end), b.select(cb.key, cb.start, cb.end), ca, cb, max_gap, width)
-    n = hits.groupBy(F.col(f"a_{ca.id}").alias("_id")).agg(F.count("*").alias("_n"))
+def overlap_counts(a: DataFrame, b: DataFrame, ca: Cols = DEFAULT, cb: Cols = DEFAULT, max_gap: int | None = None, into: str = "n_overlaps") -> DataFrame:
+    """``a`` with the number of rows of ``b`` each row overlaps; rows that overlap none have 0. ``ca.id`` must tell rows apart.
+
+    No pairs are made: of the intervals that begin before a row's end, those that end
+    before it begins don't overlap it. Both numbers are prefix sums over sorted starts and ends,
+    scanned in partitions of any key.
+    """
+    reach = 0 if max_gap is None else max_gap + 1
+    s, e = F.col(ca.start) - reach, F.col(ca.end) + reach
+    t, f = F.col(cb.start), F.col(cb.end)
+    asks, marks = usable(a, ca), usable(b, cb)
+    # order at one position: starts count behind the ends they don't reach (0 before 1), ends before the rows that begin there;
+    # intervals without length are left of nothing at their own position, except for rows that have a length
+    events = [
+        marks.select(F.col(cb.key).alias("k"), F.lit(0).alias("side"), t.alias("at"), F.lit(1).alias("o")),
+        marks.select(F.col(cb.key).alias("k"), F.lit(1).alias("side"), f.alias("at"), F.when(t == f, 2).otherwise(0).alias("o")),
+    ]
+    summed = events[0].unionByName(events[1]).groupBy("k", "side", "at", "o").agg(F.count("*").alias("v"))
+    nobody = F.lit(None).cast(a.schema[ca.id].dataType)
+    rows = summed.withColumn("id", nobody)
+    rows = rows.unionByName(asks.select(F.col(ca.key).alias("k"), F.lit(0).alias("side"), e.alias("at"), F.lit(0).alias("o"), F.lit(0).cast("bigint").alias("v"), F.col(ca.id).alias("id")))
+    rows = rows.unionByName(asks.select(F.col(ca.key).alias("k"), F.lit(1).alias("side"), s.alias("at"), F.when(s == e, 1).otherwise(3).alias("o"), F.lit(0).cast("bigint").alias("v"), F.col(ca.id).alias("id")))
+    scanned = prefix_sum_within(rows, ["k", "side"], ["at", "o"], "v", "upto").where("id is not null")
+    n = scanned.groupBy(F.col("id").alias("_id")).agg(F.sum(F.when(F.col("side") == 0, F.col("upto")).otherwise(-F.col("upto"))).alias("_n"))
     return a.join(n, a[ca.id] == n["_id"], "left").withColumn(into, F.coalesce("_n", F.lit(0))).drop("_id", "_n")
 
 
-def overlapping(a: DataFrame, b: DataFrame, ca: Cols = DEFAULT, cb: Cols = DEFAULT, max_gap: int | None = None, width: int = 1024, keep: bool = True) -> DataFrame:
+def overlapping(a: DataFrame, b: DataFrame, ca: Cols = DEFAULT, cb: Cols = DEFAULT, max_gap: int | None = None, keep: bool = True) -> DataFrame:
     """Rows of ``a`` that overlap at least one of ``b`` (or, with ``keep`` false, none); rows without position overlap none."""
-    hits = overlap_pairs(a.select(ca.id, ca.key, ca.start, ca.end), b.select(cb.key, cb.start, cb.end), ca, cb, max_gap, width)
-    ids = hits.select(F.col(f"a_{ca.id}").alias("_id")).distinct()
-    return a.join(ids, a[ca.id] == ids["_id"], "left_semi" if keep else "left_anti")
+    counted = overlap_counts(a, b, ca, cb, max_gap, "_overlaps")
+    return counted.where(F.col("_overlaps") > 0 if keep else F.col("_overlaps") == 0).drop("_overlaps")
 
 
 def intersections(a: DataFrame, b: DataFrame, ca: Cols = DEFAULT, cb: Cols = DEFAULT, width: int = 1024) -> DataFrame:
@@ -148,7 +179,7 @@ def nearest(a: DataFrame, b: DataFrame, ca: Cols = DEFAULT, cb: Cols = DEFAULT,
     smallest id) is named if none is nearer, else the first to begin later (then the
     smallest id). Null where the key has none. Among intervals that begin at or before a position the nearest is the one
     that ends last, among later ones the one that begins first: both are carried over
-    bins (a row per key and bin) and scanned inside bins, so no key is one task.
+    stretches of bins, over the bins of a stretch, and scanned inside bins, so no key is one task.
     """
     left = usable(a, ca).select(F.col(ca.id).alias("_id"), F.col(ca.key).alias("_k"), F.col(ca.start).alias("_s"), F.col(ca.end).alias("_e"))
     right = usable(b, cb).select(F.col(cb.id).alias("_id"), F.col(cb.key).alias("_k"), F.col(cb.start).alias("_s"), F.col(cb.end).alias("_e"))
@@ -159,11 +190,17 @@ def nearest(a: DataFrame, b: DataFrame, ca: Cols = DEFAULT, cb: Cols = DEFAULT,
     ends = right.groupBy("_k", "_s", "_e").agg(F.min("_id").alias("_id")).withColumn("_bin", bin_)
     bins = ends.groupBy("_k", "_bin").agg(F.max(reach).alias("hi"), F.min(begin).alias("lo"))
     asked = left.select("_k", bin_.alias("_bin")).distinct()
-    table = bins.join(asked, ["_k", "_bin"], "full_outer")
-    by_bin = W.partitionBy("_k").orderBy("_bin")
-    carried = table.select(
-        "_k", "_bin", F.max("hi").over(by_bin.rowsBetween(W.unboundedPreceding, -1)).alias("before"), F.min("lo").over(by_bin.rowsBetween(1, W.unboundedFollowing)).alias("after")
-    )
+    table = bins.join(asked, ["_k", "_bin"], "full_outer").withColumn("_far", F.floor(F.col("_bin") / _FAR))
+
+    def around(by: list[str], order: str) -> tuple[Column, Column]:
+        w = W.partitionBy(*by).orderBy(order)
+        return F.max("hi").over(w.rowsBetween(W.unboundedPreceding, -1)), F.min("lo").over(w.rowsBetween(1, W.unboundedFollowing))
+
+    # bins are carried inside stretches of _FAR bins, and stretches inside keys: no window holds more than one of the two
+    inner, outer = around(["_k", "_far"], "_bin"), around(["_k"], "_far")
+    far = table.groupBy("_k", "_far").agg(F.max("hi").alias("hi"), F.min("lo").alias("lo")).select("_k", "_far", outer[0].alias("b2"), outer[1].alias("a2"))
+    near = table.select("_k", "_far", "_bin", inner[0].alias("b1"), inner[1].alias("a1")).join(far, ["_k", "_far"])
+    carried = near.select("_k", "_bin", F.greatest("b1", "b2").alias("before"), F.least("a1", "a2").alias("after"))
     rows = left.withColumn("_bin", bin_).select("_k", "_bin", "_s", "_e", "_id", F.lit(1).alias("_left"), F.lit(None).cast(ends.select(reach).schema[0].dataType).alias("hi"), F.lit(None).cast(ends.select(begin).schema[0].dataType).alias("lo"))
     rows = rows.unionByName(ends.select("_k", "_bin", "_s", "_e", F.lit(None).cast(left.schema["_id"].dataType).alias("_id"), F.lit(0).alias("_left"), reach.alias("hi"), begin.alias("lo")))
     inside = W.partitionBy("_k", "_bin").orderBy("_s", "_left")

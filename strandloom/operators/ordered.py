@@ -59,7 +59,7 @@ def carried(
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow = to_arrow_schema(schema)
-    rows = sorted((r.asDict() for r in placed.mapInArrow(one, schema).collect()), key=lambda r: r[PID])
+    rows = sorted((r.asDict(True) for r in placed.mapInArrow(one, schema).collect()), key=lambda r: r[PID])
     states, state = {}, start
     for row in rows:
         states[row[PID]] = state
@@ -67,19 +67,26 @@ def carried(
     return states
 
 
+def _changed(col: pa.Array) -> np.ndarray:
+    """True where a value differs from the one before it; null equals null. Structs differ where a field does."""
+    a, b = col.slice(1), col.slice(0, len(col) - 1)
+    nulls = pc.xor(pc.is_null(a), pc.is_null(b)).to_numpy(zero_copy_only=False)
+    if pa.types.is_struct(col.type):
+        for field in col.flatten():
+            nulls = nulls | _changed(field)
+        return nulls
+    return nulls | pc.fill_null(pc.not_equal(a, b), False).to_numpy(zero_copy_only=False)
+
+
 def group_changes(batch: pa.RecordBatch, keys: list[str]) -> np.ndarray:
     """True where a row's key differs from the row before it; the first row is always True."""
     n = batch.num_rows
     out = np.zeros(n, dtype=bool)
     if n:
         out[0] = True
-    for k in keys:
-        col = batch.column(k)
-        if n > 1:
-            a, b = col.slice(1), col.slice(0, n - 1)
-            differs = pc.fill_null(pc.not_equal(a, b), False).to_numpy(zero_copy_only=False)
-            nulls = pc.xor(pc.is_null(a), pc.is_null(b)).to_numpy(zero_copy_only=False)
-            out[1:] |= differs | nulls
+    if n > 1:
+        for k in keys:
+            out[1:] |= _changed(batch.column(k))
     return out
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandloom.operators import intervals as iv
+from strandloom.operators.ordered import prefix_sum_within
 from strandloom.operators.tables import first_by, in_all
 from strandloom.plans.base import HITS, PEAKS, VISITS, Registry, hits, peaks, visits
 from strandloom.session import table
@@ -50,13 +51,13 @@ def j2_within_gap(spark, folder):
 @REG.add("j3_overlapping", _TWO + f"SELECT hit_id, chrom, s, e FROM plus a WHERE EXISTS (SELECT 1 FROM minus b WHERE {_MEET})")
 def j3_overlapping(spark, folder):
     a, b = _split(spark, folder)
-    return iv.overlapping(a, b, HIT, HIT, width=64).select("hit_id", "chrom", "s", "e")
+    return iv.overlapping(a, b, HIT, HIT).select("hit_id", "chrom", "s", "e")
 
 
 @REG.add("j4_not_overlapping", _TWO + f"SELECT hit_id, chrom, s, e FROM plus a WHERE NOT EXISTS (SELECT 1 FROM minus b WHERE {_MEET})")
 def j4_not_overlapping(spark, folder):
     a, b = _split(spark, folder)
-    return iv.overlapping(a, b, HIT, HIT, width=64, keep=False).select("hit_id", "chrom", "s", "e")
+    return iv.overlapping(a, b, HIT, HIT, keep=False).select("hit_id", "chrom", "s", "e")
 
 
 @REG.add("j5_overlap_counts", f"WITH {HITS} SELECT p.name, count(h.hit_id) AS n_hits FROM peak p LEFT JOIN hit h ON p.chrom = h.chrom AND p.chrom_start < h.e AND h.s < p.chrom_end GROUP BY p.name")
@@ -67,8 +68,12 @@ def j5_overlap_counts(spark, folder):
 @REG.add("j6_events_in_busy_time", f"WITH {VISITS} SELECT DISTINCT a.event_id FROM visit a JOIN visit b ON a.event_type = b.event_type AND a.user_id <> b.user_id AND a.s < b.e AND b.s < a.e")
 def j6_events_in_busy_time(spark, folder):
     v = visits(spark, folder)
-    p = iv.overlap_pairs(v, v, VISIT, VISIT, width=BIN)
-    return p.where("a_user_id <> b_user_id").select(F.col("a_event_id").alias("event_id")).distinct()
+    """Events that overlap another user's on their type: all they overlap, less those of their own user; no pairs are made."""
+    known = v.where("user_id is not null").withColumn("own", F.struct("event_type", "user_id"))
+    of_all = iv.overlap_counts(known, known, VISIT, VISIT, into="n_all")
+    own = iv.Cols("own", "s", "e", "event_id")
+    both = iv.overlap_counts(of_all, known.select("own", "s", "e"), own, own, into="n_own")
+    return both.where("n_all > n_own").select("event_id")
 
 
 @REG.add("j7_within", f"WITH {HITS} SELECT h.hit_id, p.name AS inside FROM hit h JOIN peak p ON h.chrom = p.chrom AND p.chrom_start <= h.s AND h.e <= p.chrom_end")
@@ -235,7 +240,7 @@ def i5_share_inside(spark, folder):
     v = visits(spark, folder)
     regions = iv.merged(v.where("value >= 25"), VISIT)
     points = v.withColumn("e", F.col("s") + 1)
-    inside = iv.overlap_counts(points, regions, VISIT, iv.Cols("event_type", "s", "e", "s"), width=BIN)
+    inside = iv.overlap_counts(points, regions, VISIT, iv.Cols("event_type", "s", "e", "s"))
     return inside.groupBy("event_type").agg(F.count("*").alias("n"), F.count(F.when(F.col("n_overlaps") > 0, 1)).alias("n_inside"))
 
 
@@ -268,7 +273,7 @@ SELECT name, side, s, e FROM f WHERE NOT EXISTS (SELECT 1 FROM hit h WHERE h.chr
 def i10_clear_flanks(spark, folder):
     c = iv.Cols("chrom", "chrom_start", "chrom_end", "flank")
     f = iv.flanks(peaks(spark, folder), 50).withColumn("flank", F.concat_ws("|", "name", "side"))
-    clear = iv.overlapping(f, hits(spark, folder), c, HIT, width=64, keep=False)
+    clear = iv.overlapping(f, hits(spark, folder), c, HIT, keep=False)
     return clear.select("name", "side", F.col("chrom_start").alias("s"), F.col("chrom_end").alias("e"))
 
 
@@ -323,7 +328,10 @@ def i17_overlap_matrix(spark, folder):
     v = visits(spark, folder)
     c = iv.Cols("user_id", "s", "e", "event_id")
     slim = v.select("event_id", "user_id", "event_type", "s", "e")
-    p = iv.overlap_pairs(slim, slim, c, c, width=BIN).where("a_event_type <> b_event_type")
+    # a type's visits of one user are merged first: at most one piece where many overlap each other
+    pieces = iv.merged(slim.where("user_id is not null").withColumn("k", F.struct("user_id", "event_type")), iv.Cols("k", "s", "e", "event_id"))
+    pieces = pieces.select("k.user_id", "k.event_type", "s", "e")
+    p = iv.overlap_pairs(slim, pieces, c, c, width=BIN).where("a_event_type <> b_event_type")
     hit = p.groupBy(F.col("a_event_type").alias("set_a"), F.col("b_event_type").alias("set_b")).agg(F.count_distinct("a_event_id").alias("n_overlapping"))
     n = v.groupBy(F.col("event_type").alias("set_a")).agg(F.count("*").alias("n"))
     return hit.join(n, "set_a").select("set_a", "set_b", "n_overlapping", F.round(100.0 * F.col("n_overlapping") / F.col("n"), 6).alias("percent"))
@@ -347,9 +355,8 @@ def i19_bin_correlation(spark, folder):
     b = h.groupBy("chrom", F.floor(F.col("s") / 50_000).alias("b")).agg(F.count(F.when(F.col("hit_strand") == "+", 1)).alias("x"), F.count(F.when(F.col("hit_strand") == "-", 1)).alias("y"))
 
     def ranks(v):
-        hist = b.groupBy(v).agg(F.count("*").alias("n"))
-        below = F.sum("n").over(W.partitionBy(F.lit(0)).orderBy(v)) - F.col("n")
-        return hist.select(v, (below + (F.col("n") + 1) / 2.0).alias(f"r{v}"))
+        hist = prefix_sum_within(b.groupBy(v).agg(F.count("*").alias("n")), [], [v], "n", "upto")
+        return hist.select(v, (F.col("upto") - F.col("n") + (F.col("n") + 1) / 2.0).alias(f"r{v}"))
 
     r = b.join(ranks("x"), "x").join(ranks("y"), "y")
     return r.agg(F.count("*").alias("n_bins"), F.round(F.corr("rx", "ry"), 9).alias("spearman"))

@@ -52,6 +52,28 @@ def test_counts_semi_and_anti_agree(spark, rows):
     assert rows(iv.overlapping(a, b, keep=False), "name") == [("a2",), ("a3",), ("a4",)]
 
 
+@FEW
+@given(st.lists(interval, max_size=25), st.lists(interval, max_size=25), st.sampled_from([None, 0, 7]))
+def test_counts_match_a_loop(spark, rows, a, b, gap):
+    want = {f"a{i}": 0 for i in range(len(a))}
+    for x, _ in pairs(a, b, gap):
+        want[x] += 1
+    assert rows(iv.overlap_counts(table(spark, a, "a"), table(spark, b, "b"), max_gap=gap), "name", "n_overlaps") == sorted(want.items(), key=repr)
+
+
+def test_an_arm_long_interval_makes_few_rows(spark):
+    """One interval over a whole arm costs at most a row a level, on either side."""
+    long = table(spark, [("x", 0, 30_000_000)], "l")
+    short = spark.range(2_000).selectExpr("'x' as chrom", "id * 15000 as chrom_start", "id * 15000 + 200 as chrom_end", "concat('s', id) as name")
+    for a, b in ((long, short), (short, long)):
+        got = iv.overlap_pairs(a, b, width=1024)
+        assert got.count() == 2_000
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert "sequence(" not in plan and "Generate explode" in plan
+    own = iv._own_bin(F.lit(0).cast("bigint"), F.lit(30_000_000).cast("bigint"), 1024)
+    assert spark.range(1).select(F.size(iv._bins_above(F.lit(0).cast("bigint"), own, 1024)).alias("n")).first()["n"] <= 9
+
+
 def test_adjacent_intervals_do_not_overlap_but_are_within_gap_0(spark):
     a, b = table(spark, [("x", 0, 10)], "a"), table(spark, [("x", 10, 5)], "b")
     assert iv.overlap_pairs(a, b).count() == 0
