@@ -9,12 +9,12 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandloom.functions import special as sp
 from strandloom.operators.ordered import prefix_sum_within
+from strandloom.session import materialize
 
 
 def per_row(f, returns: str, *columns: Column) -> Column:
@@ -50,8 +50,8 @@ def log_odds(hits: Column, n: Column, continuity: float = 0.0) -> Column:
 def adjusted(df: DataFrame, p: str, into: str = "p_adjusted", group: list[str] | None = None) -> DataFrame:
     """Benjamini-Hochberg: the least p m / rank over all p from there on; null and NaN stay null and don't count.
 
-    Ranks come from a range-sorted scan; the running minimum is taken over distinct p
-    values. The number of groups is small, the number of p values may be any.
+    Ranks and the running minimum over distinct p values come from range-sorted scans: groups
+    and p values may be of any number.
     """
     group = group or []
     ok = F.col(p).isNotNull() & ~F.isnan(p)
@@ -59,9 +59,10 @@ def adjusted(df: DataFrame, p: str, into: str = "p_adjusted", group: list[str] |
     ranked = prefix_sum_within(counted, group, [p], "_c", "_rank")
     m = counted.groupBy(*(F.col(g).alias(f"_g{i}") for i, g in enumerate(group))).agg(F.sum("_c").alias("_m"))
     both = ranked.join(m, [ranked[g].eqNullSafe(m[f"_g{i}"]) for i, g in enumerate(group)]) if group else ranked.join(F.broadcast(m))
-    raw = both.withColumn("_q", F.col(p) * F.col("_m") / F.col("_rank"))
-    later = W.partitionBy(*(group or [F.lit(0)])).orderBy(F.col(p).desc()).rowsBetween(W.unboundedPreceding, 0)
-    adj = raw.select(*(F.col(g).alias(f"_h{i}") for i, g in enumerate(group)), F.col(p).alias("_p"), F.least(F.lit(1.0), F.min("_q").over(later)).alias(into))
+    raw = both.select(*group, F.col(p), (-F.col(p).cast("double")).alias("_falling"), (F.col(p) * F.col("_m") / F.col("_rank")).alias("_q"))
+    later = prefix_sum_within(raw, group, ["_falling"], "_q", "_least", least=True)
+    # stored, so that a plain exchange lies below the join and a p that very many rows have can be split
+    adj = materialize(later.select(*(F.col(g).alias(f"_h{i}") for i, g in enumerate(group)), F.col(p).alias("_p"), F.least(F.lit(1.0), F.col("_least")).alias(into)))
     return df.join(adj, [df[p] == adj["_p"], *(df[g].eqNullSafe(adj[f"_h{i}"]) for i, g in enumerate(group))], "left").drop("_p", *(f"_h{i}" for i in range(len(group))))
 
 
@@ -82,7 +83,11 @@ def rank_sums(df: DataFrame, value: str, first: Column, group: list[str] | None
 
 
 def wilcoxon(sums: DataFrame) -> DataFrame:
-    """Rank-sum test from ``rank_sums``: U, z with tie and continuity correction, two-sided p, AUROC."""
+    """Rank-sum test from ``rank_sums``: U, z with tie and continuity correction, two-sided p, AUROC, and ``p_exact``.
+
+    ``p_exact`` is the exact two-sided p where both groups have fewer than 50 values without ties, as is
+    usual; null elsewhere, where ``p_value``, of the normal law, stands alone.
+    """
     n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
     n = n1 + n2
     u = F.col("rank_sum") - n1 * (n1 + 1) / 2
@@ -90,7 +95,36 @@ def wilcoxon(sums: DataFrame) -> DataFrame:
     var = n1 * n2 / 12 * (n + 1 - F.col("ties") / (n * (n - 1)))
     z = (u - middle - 0.5 * F.signum(u - middle)) / F.sqrt(var)
     p = per_row(lambda z: float(min(1.0, 2 * sp.normal_sf(abs(z)))), "double", z)
-    return sums.select("*", u.alias("u"), z.alias("z"), (u / (n1 * n2)).alias("auroc"), p.alias("p_value"))
+    small = (n1 > 0) & (n2 > 0) & (n1 < 50) & (n2 < 50) & (F.col("ties") == 0)
+    exact = per_row(lambda u, a, b: rank_sum_exact(int(u), int(a), int(b)), "double", *(F.when(small, x) for x in (u, n1, n2)))
+    return sums.select("*", u.alias("u"), z.alias("z"), (u / (n1 * n2)).alias("auroc"), p.alias("p_value"), exact.alias("p_exact"))
+
+
+@lru_cache(maxsize=4096)
+def _rank_sum_law(n1: int, n2: int) -> np.ndarray:
+    """Probabilities of U = 0, 1, ... n1 n2: how many of all choices of n1 among n1 + n2 ranks give each.
+
+    Choices are counted by the Gaussian binomial, multiplied out factor by factor.
+    """
+    ways = np.zeros(n1 * n2 + 1)
+    ways[0] = 1.0
+    for i in range(1, n1 + 1):
+        up = n2 + i
+        ways[up:] = ways[up:] - ways[: len(ways) - up] if up < len(ways) else ways[up:]
+        for k in range(i, len(ways)):  # divided by 1 - x^i
+            ways[k] += ways[k - i]
+    return ways / ways.sum()
+
+
+def rank_sum_exact(u: int, n1: int, n2: int) -> float:
+    """Exact two-sided p of the rank-sum test without ties."""
+    law = _rank_sum_law(min(n1, n2), max(n1, n2))
+    return float(min(1.0, 2 * min(law[: u + 1].sum(), law[u:].sum())))
+
+
+def signed_rank_paired(first: list[float], second: list[float], mu: float = 0.0) -> tuple[float, float]:
+    """Paired signed-rank test: that of the pairs' differences; pairs with a missing value don't count."""
+    return signed_rank_exact([a - b for a, b in zip(first, second, strict=True) if a is not None and b is not None], mu)
 
 
 @lru_cache(maxsize=64)
@@ -122,7 +156,7 @@ def signed_rank_exact(values: list[float], mu: float = 0.0) -> tuple[float, floa
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
-    """One row: n and the correlation of average-tie ranks; rows with a null are left out."""
+    """One row: n, the correlation of average-tie ranks and the two-sided p of its t; rows with a null are left out."""
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(x, y).agg(F.count("*").alias("_c"))
 
     def ranks(c: str) -> DataFrame:
@@ -137,7 +171,13 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     mean = (n + 1) / 2.0
     s = both.agg(n.alias("n"), F.sum(c * rx * rx).alias("xx"), F.sum(c * ry * ry).alias("yy"), F.sum(c * rx * ry).alias("xy"), mean.alias("m"))
     nm = F.col("n") * F.col("m") * F.col("m")
-    return s.select("n", ((F.col("xy") - nm) / F.sqrt((F.col("xx") - nm) * (F.col("yy") - nm))).alias("rho"))
+    s = s.select("n", ((F.col("xy") - nm) / F.sqrt((F.col("xx") - nm) * (F.col("yy") - nm))).alias("rho"))
+    return s.withColumn("p_value", correlation_p(F.col("rho"), F.col("n")))
+
+
+def correlation_p(r: Column, n: Column) -> Column:
+    """Two-sided p of a correlation of ``n`` pairs by Student's law; null below three pairs."""
+    return per_row(lambda r, n: None if n < 3 else 0.0 if abs(r) >= 1 else 2 * sp.t_sf(abs(r) * math.sqrt((n - 2) / (1 - r * r)), n - 2), "double", r, n)
 
 
 def chi_square(df: DataFrame, row: str, column: str) -> DataFrame:
@@ -169,7 +209,8 @@ def exact_split_p(a: list[float], b: list[float]) -> float:
     splits = list(itertools.combinations(range(len(values)), len(a)))
     total = values.sum()
     diffs = [abs((s := values[list(c)].sum()) / len(a) - (total - s) / len(b)) for c in splits]
-    return float(np.mean(np.array(diffs) >= seen - 1e-12))
+    # splits that mirror the seen one differ from it by rounding only, which grows with the values
+    return float(np.mean(np.array(diffs) >= seen - 1e-9 * max(1.0, np.abs(values).max())))
 
 
 def _gram(df: DataFrame, y: Column, xs: list[Column], weight: Column | None = None) -> tuple[np.ndarray, np.ndarray, float, float, int]:
@@ -284,14 +325,20 @@ def empirical_p(null: Column, observed: Column, alternative: str = "greater", pl
 
 
 def null_summary(df: DataFrame, group: list[str], null: str, observed: str) -> DataFrame:
-    """Per group: observed, null mean, deviation, z, fold, and the Monte-Carlo floor and error of p."""
+    """Per group: observed, null mean, deviation and 95 % quantile (by lines between order statistics), z, fold, and the Monte-Carlo floor and error of p."""
     p = empirical_p(F.col(null), F.col(observed))
-    s = df.groupBy(*group).agg(F.max(observed).alias("observed"), F.count(null).alias("n_perm"), F.avg(null).alias("null_mean"), F.stddev_samp(null).alias("null_sd"), p.alias("p_empirical"))
+    s = df.groupBy(*group).agg(F.max(observed).alias("observed"), F.count(null).alias("n_perm"), F.avg(null).alias("null_mean"), F.stddev_samp(null).alias("null_sd"), F.percentile(null, 0.95).alias("null_q95"), p.alias("p_empirical"))
     z = (F.col("observed") - F.col("null_mean")) / F.nullif(F.col("null_sd"), F.lit(0.0))
     error = F.sqrt(F.col("p_empirical") * (1 - F.col("p_empirical")) / F.col("n_perm"))
     return s.select("*", z.alias("z"), (F.col("observed") / F.nullif(F.col("null_mean"), F.lit(0.0))).alias("fold"), (1 / (F.col("n_perm") + 1)).alias("p_floor"), error.alias("p_error"))
 
 
+def inflation(summaries: DataFrame, group: str, base: str) -> DataFrame:
+    """Summaries of nulls with ``inflation``: each null's mean over that of the null named ``base``."""
+    of = summaries.where(F.col(group) == base).agg(F.max("null_mean").alias("_base"))  # one row
+    return summaries.join(F.broadcast(of)).withColumn("inflation", F.col("null_mean") / F.nullif(F.col("_base"), F.lit(0.0))).drop("_base")
+
+
 def detectable_difference(p1: float, n1: int, n2: int, power: float = 0.8, alpha: float = 0.05) -> float:
     """The least p2 > p1 that a two-proportion test finds with the given power."""
     za, zb = sp.normal_quantile(1 - alpha / 2), sp.normal_quantile(power)

@@ -101,22 +101,25 @@ def prefix_sum_within(
     value: str | None = None,
     into: str = "running",
     partitions: int | None = None,
+    least: bool = False,
 ) -> DataFrame:
-    """Inclusive running total of ``value`` (or of 1: a row number) within each group.
+    """Inclusive running total of ``value`` (or of 1: a row number), or with ``least`` its running minimum, within each group.
 
     Rows come back sorted by ``group`` then ``order``. Null groups form a group,
-    null values add nothing, ties in ``order`` are counted one after the other (name
+    null values add nothing (and are never the minimum), ties in ``order`` are counted one after the other (name
     enough columns to make the order total). An empty table gives an empty table.
     """
     kind = "double" if value and dict(df.dtypes)[value] in ("double", "float") else "bigint"
     placed = range_sorted(df, [*group, *order], partitions)
     key_ddl = ", ".join(f"`{g}` {dict(df.dtypes)[g]}" for g in group)
     dtype = np.float64 if kind == "double" else np.int64
+    nothing = 0 if not least else np.inf if kind == "double" else np.iinfo(np.int64).max
+    together = min if least else lambda a, b: a + b
 
     def values(batch: pa.RecordBatch) -> np.ndarray:
         if value is None:
             return np.ones(batch.num_rows, dtype=dtype)
-        return pc.fill_null(batch.column(value), 0).to_numpy(zero_copy_only=False).astype(dtype)
+        return pc.fill_null(batch.column(value), nothing).to_numpy(zero_copy_only=False).astype(dtype, copy=True)
 
     def summarise(batches):
         out = None
@@ -125,13 +128,13 @@ def prefix_sum_within(
                 continue
             starts = np.flatnonzero(group_changes(b, group))
             last = int(starts[-1])
-            total = values(b)[last:].sum().item()
+            total = (values(b)[last:].min() if least else values(b)[last:].sum()).item()
             key = key_at(b, group, last)
             if out is None:
                 out = {PID: b.column(PID)[0].as_py(), "first": key_at(b, group, 0)}
                 out |= {"whole": len(starts) == 1, "key": key, "total": total}
             elif len(starts) == 1 and key == out["key"]:
-                out["total"] += total
+                out["total"] = together(out["total"], total)
             else:
                 out |= {"whole": False, "key": key, "total": total}
         if out is None:
@@ -141,7 +144,7 @@ def prefix_sum_within(
     def combine(state, row):
         key = tuple(row[g] for g in group)
         if state is not None and row["whole"] and state[0] == key:
-            return key, state[1] + row["total"]
+            return key, together(state[1], row["total"])
         return key, row["total"]
 
     states = carried(placed, summarise, f"`{PID}` int, whole boolean, total {kind}" + (", " + key_ddl if group else ""), combine)
@@ -158,13 +161,19 @@ def prefix_sum_within(
                 state = sent.value.get(b.column(PID)[0].as_py())
             v = values(b)
             change = group_changes(b, group)
-            total = np.cumsum(v)
             starts = np.flatnonzero(change)
-            before = np.concatenate([[0], total])[starts]
-            if state is not None and state[0] == key_at(b, group, 0):
-                before = before.copy()
-                before[0] -= state[1]
-            running = total - np.repeat(before, np.diff(np.append(starts, len(v))))
+            goes_on = state is not None and state[0] == key_at(b, group, 0)
+            if least:
+                if goes_on:
+                    v[0] = min(v[0], state[1])
+                running = np.concatenate([np.minimum.accumulate(part) for part in np.split(v, starts[1:])])
+            else:
+                total = np.cumsum(v)
+                before = np.concatenate([[0], total])[starts]
+                if goes_on:
+                    before = before.copy()
+                    before[0] -= state[1]
+                running = total - np.repeat(before, np.diff(np.append(starts, len(v))))
             state = key_at(b, group, b.num_rows - 1), running[-1].item()
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(running)], names=[*names, into])
 

@@ -89,12 +89,6 @@ def complement_split(df: DataFrame, key: str, seed: int, share: float = 0.5) ->
     return df.withColumn("half", F.when(part < share, 1).otherwise(2))
 
 
-def average_rank(value: Column, over: list[str]) -> Column:
-    """Rank with ties sharing their mean rank, over the rows that have a value."""
-    tie = W.partitionBy(*over, value)
-    return F.rank().over(W.partitionBy(*over).orderBy(value)) + (F.count("*").over(tie) - 1) / 2.0
-
-
 def interpolated(df: DataFrame, curve: DataFrame, group: str, x: str, y: str, at: str) -> DataFrame:
     """``y`` of each group's curve at ``at`` by straight lines between its points; null outside them."""
     w = W.partitionBy(group).orderBy(x)

@@ -18,6 +18,18 @@ def _six(c):
     return F.format_string("%.5e", c)
 
 
+def _area(density: str, rows: str, keep: str, start: str, span: float, steps: int = 4000) -> str:
+    """SQL: the area under a density from ``start`` on over ``span``, by Simpson's rule; one row per row of ``rows``."""
+    h = span / steps
+    at = f"({start} + i * {h!r})"
+    weight = f"CASE WHEN i = 0 OR i = {steps} THEN 1.0 WHEN i % 2 = 1 THEN 4.0 ELSE 2.0 END"
+    return f"(SELECT {keep}, sum({weight} * ({density.replace('$x', at)})) * {h!r} / 3 AS area FROM {rows}, range(0, {steps + 1}) g(i) GROUP BY ALL)"
+
+
+_NORMAL = "exp(-$x * $x / 2) / sqrt(2 * pi())"
+_STUDENT = "exp(lgamma((v + 1) / 2.0) - lgamma(v / 2.0) - 0.5 * ln(v * pi()) - (v + 1) / 2.0 * ln(1 + $x * $x / v))"
+_CHI2 = "exp((v / 2.0 - 1) * ln($x) - $x / 2 - lgamma(v / 2.0) - v / 2.0 * ln(2.0))"
+
 _OVERLAP = """u AS (SELECT count(DISTINCT p_partkey) AS n FROM part), k AS (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_quantity >= 49), m AS (
  SELECT l_suppkey, count(DISTINCT l_partkey) AS m, count(DISTINCT CASE WHEN l_partkey IN (SELECT k FROM k) THEN l_partkey END) AS x FROM lineitem WHERE l_partkey IS NOT NULL GROUP BY 1),
 t AS (SELECT l_suppkey, m, x, n, (SELECT count(*) FROM k) AS k FROM m, u)"""
@@ -43,7 +55,14 @@ def st1_overlap_tail(spark, folder):
     return t.select("l_suppkey", "x", "m", _six(p).alias("p"))
 
 
-@REG.add("st2_tail_quantile")
+_TAILS = f"""WITH {_OVERLAP}, d AS (SELECT l_suppkey, n, k, m, i, exp({_LOGP}) AS p FROM (SELECT *, unnest(range(greatest(0, m + k - n), least(k, m) + 1)) AS i FROM t)),
+c AS (SELECT *, sum(p) OVER (PARTITION BY l_suppkey ORDER BY i) AS upto FROM d), q AS (SELECT l_suppkey, n, k, m, min(i) FILTER (upto >= 0.95 * (1 - 1e-12)) + 1 AS q FROM c GROUP BY ALL),
+w AS (SELECT l_suppkey, n, least(n, CAST(floor(k * 1.2) AS BIGINT)) AS k, m, q FROM q), e AS (SELECT *, unnest(range(greatest(q, m + k - n), least(k, m) + 1)) AS i FROM w)
+SELECT w.l_suppkey, CAST(w.q AS DOUBLE) AS q, round(least(1.0, coalesce(max(x.s), 0.0)), 9) AS power
+FROM w LEFT JOIN (SELECT l_suppkey, sum(exp({_LOGP})) AS s FROM e GROUP BY 1) x ON x.l_suppkey = w.l_suppkey GROUP BY 1, 2"""
+
+
+@REG.add("st2_tail_quantile", _TAILS)
 def st2_tail_quantile(spark, folder):
     """The overlap that would be significant, and the chance to reach it if overlaps were a fifth likelier."""
     t = _overlaps(spark, folder)
@@ -72,9 +91,48 @@ def _cells(spark, folder):
     return c.join(s).select("motif_id", "a", "b", (F.col("sa") - F.col("a")).alias("c"), (F.col("sb") - F.col("b")).alias("d"))
 
 
+_FISHER = f"""{_CELLS}, t AS (SELECT motif_id, c.a, c.b, s.a - c.a AS c, s.b - c.b AS d FROM c, s), g AS (SELECT *, a + b AS m, a + c AS k, a + b + c + d AS n FROM t),
+l AS (SELECT motif_id, a, i, {_LOGP} AS l FROM (SELECT *, unnest(range(greatest(0, m + k - n), least(k, m) + 1)) AS i FROM g)), h AS (SELECT motif_id, l AS seen FROM l WHERE i = a)
+SELECT l.motif_id, max(l.a) AS a, printf('%.5e', least(1.0, sum(exp(l)) FILTER (l <= seen + 1e-7))) AS p FROM l JOIN h ON l.motif_id = h.motif_id GROUP BY 1"""
+
+
+@REG.add("st3_fisher_p", _FISHER)
+def st3_fisher_p(spark, folder):
+    """Two-sided exact p of each motif's strong hits against all others'."""
+    t = _cells(spark, folder).where("a + b > 0 and c + d > 0 and a + c > 0 and b + d > 0")
+    return t.select("motif_id", "a", _six(st.fisher(*(F.col(c) for c in "abcd"))[3]).alias("p"))
+
+
+# what the conditional estimate and the interval's ends must satisfy, checked in SQL with the values that Spark found
+_FISHER_FITS = "SELECT 0 AS n_bad_ratio, 0 AS n_bad_lower, 0 AS n_bad_upper"
+
+
+@REG.add("st3_fisher_fits", _FISHER_FITS)
+def st3_fisher_fits(spark, folder):
+    """Motifs whose odds ratio doesn't make the seen count the expected one, or whose interval doesn't end where a tail has 2.5 %: none."""
+    t = st3_fisher(spark, folder).where("odds_ratio > 0 and upper < double('inf') and lower > 0")
+    n, k, m = F.expr("a + b + c + d"), F.expr("a + c"), F.expr("a + b")
+    i = F.sequence(F.greatest(F.lit(0), m + k - n), F.least(k, m))
+    rows = t.select("motif_id", "a", "odds_ratio", "lower", "upper", n.alias("n"), k.alias("k"), m.alias("m"), F.explode(i).alias("i"))
+    logs = st.per_row(lambda n, k, m, i: float(sp.log_hypergeometric(int(n), int(k), int(m))[1][int(i) - max(0, int(m + k - n))]), "double", *(F.col(c) for c in "nkmi"))
+    rows = rows.withColumn("l", logs)
+
+    def share(ratio, what):
+        w = F.exp(F.col("l") + (F.col("i") - F.col("a")) * F.ln(ratio))
+        return F.sum(w * what) / F.sum(w)
+
+    seen = F.col("a").cast("double")
+    g = rows.groupBy("motif_id").agg(
+        F.max("a").alias("a"), share(F.col("odds_ratio"), F.col("i")).alias("mean"),
+        share(F.col("lower"), (F.col("i") >= seen).cast("double")).alias("above"), share(F.col("upper"), (F.col("i") <= seen).cast("double")).alias("below"),
+    )
+    bad = lambda c, want: F.count_if(F.abs(F.col(c) - want) > 1e-6)
+    return g.agg(bad("mean", F.col("a")).cast("int").alias("n_bad_ratio"), bad("above", 0.025).cast("int").alias("n_bad_lower"), bad("below", 0.025).cast("int").alias("n_bad_upper"))
+
+
 @REG.add("st3_fisher")
 def st3_fisher(spark, folder):
-    """Each motif's strong hits against all others': conditional odds ratio, interval, p."""
+    """Each motif's strong hits against all others': conditional odds ratio, interval, p (p and the rest are checked by st3_fisher_p and st3_fisher_fits)."""
     t = _cells(spark, folder).withColumn("f", st.fisher(*(F.col(c) for c in "abcd")))
     return t.select("motif_id", "a", "b", "c", "d", *(F.col("f")[i].alias(n) for i, n in enumerate(("odds_ratio", "lower", "upper", "p_value"))))
 
@@ -104,12 +162,15 @@ g AS (SELECT motif_id, CAST(count(*) FILTER (one) AS DOUBLE) AS n1, CAST(count(*
 u AS (SELECT g.motif_id, n1, n2, ties, rs - n1 * (n1 + 1) / 2 AS u FROM g JOIN t ON g.motif_id = t.motif_id WHERE n1 > 0 AND n2 > 0)"""
 
 
-@REG.add("st5_st6_rank_sum", _RANKS + " SELECT motif_id, CAST(round(u, 3) AS DOUBLE) AS u, round((u - n1 * n2 / 2 - 0.5 * sign(u - n1 * n2 / 2)) / sqrt(n1 * n2 / 12 * (n1 + n2 + 1 - ties / ((n1 + n2) * (n1 + n2 - 1)))), 7) AS z, round(u / (n1 * n2), 9) AS auroc FROM u")
+_WITH_Z = "(SELECT *, (u - n1 * n2 / 2 - 0.5 * sign(u - n1 * n2 / 2)) / sqrt(n1 * n2 / 12 * (n1 + n2 + 1 - ties / ((n1 + n2) * (n1 + n2 - 1)))) AS z FROM u) u"
+
+
+@REG.add("st5_st6_rank_sum", _RANKS + " SELECT motif_id, CAST(round(u, 3) AS DOUBLE) AS u, round((u - n1 * n2 / 2 - 0.5 * sign(u - n1 * n2 / 2)) / sqrt(n1 * n2 / 12 * (n1 + n2 + 1 - ties / ((n1 + n2) * (n1 + n2 - 1)))), 7) AS z, round(u / (n1 * n2), 9) AS auroc FROM u".replace(" FROM u", ", round(least(1.0, 2 * area), 7) AS p_value FROM " + _area(_NORMAL, _WITH_Z, "u.*", "abs(z)", 40.0) + " u"))
 def st5_st6_rank_sum(spark, folder):
     """Scores of the two strands, per motif: rank-sum test and AUROC."""
     f = table(spark, folder, "fimo").where("motif_id not like '#%' and strand in ('+', '-')")
     w = st.wilcoxon(st.rank_sums(f, "score", F.col("strand") == "+", ["motif_id"]).where("n1 > 0 and n2 > 0"))
-    return w.select("motif_id", F.round("u", 3).alias("u"), F.round("z", 7).alias("z"), F.round("auroc", 9).alias("auroc"))
+    return w.select("motif_id", F.round("u", 3).alias("u"), F.round("z", 7).alias("z"), F.round("auroc", 9).alias("auroc"), F.round("p_value", 7).alias("p_value"))
 
 
 @REG.add("st5_signed_rank")
@@ -122,12 +183,24 @@ def st5_signed_rank(spark, folder):
 
 
 @REG.add("st7_spearman", """WITH o AS (SELECT o_totalprice AS x, n AS y FROM orders JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey WHERE o_totalprice IS NOT NULL),
-r AS (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 AS ry FROM o)
-SELECT count(*) AS n, round(corr(rx, ry), 8) AS rho FROM r""")
+r AS (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 AS ry FROM o),
+c AS (SELECT count(*) AS n, corr(rx, ry) AS rho FROM r), t AS (SELECT n, rho, n - 2 AS v, abs(rho) * sqrt((n - 2) / (1 - rho * rho)) AS t FROM c)
+SELECT n, round(rho, 8) AS rho, round(2 * area, 7) AS p_value FROM """ + _area(_STUDENT, "t", "t.*", "t", 40.0))
 def st7_spearman(spark, folder):
     n = table(spark, folder, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("y"))
     o = table(spark, folder, "orders").join(n, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_totalprice").alias("x"), "y")
-    return st.spearman(o, "x", "y").select("n", F.round("rho", 8).alias("rho"))
+    return st.spearman(o, "x", "y").select("n", F.round("rho", 8).alias("rho"), F.round("p_value", 7).alias("p_value"))
+
+
+_BINOMIAL = """WITH c AS (SELECT motif_id, count(*) FILTER (strand = '+') AS x, count(*) AS n FROM fimo WHERE motif_id NOT LIKE '#%' AND strand IN ('+', '-') GROUP BY 1),
+l AS (SELECT motif_id, x, n, i, lgamma(n + 1.0) - lgamma(i + 1.0) - lgamma(n - i + 1.0) - n * ln(2.0) AS l FROM (SELECT *, unnest(range(0, n + 1)) AS i FROM c)), h AS (SELECT motif_id, l AS seen FROM l WHERE i = x)
+SELECT l.motif_id, max(x) AS x, max(n) AS n, round(least(1.0, sum(exp(l)) FILTER (l <= seen + 1e-7)), 9) AS p_value FROM l JOIN h ON l.motif_id = h.motif_id GROUP BY 1"""
+
+
+@REG.add("st8_binomial_p", _BINOMIAL)
+def st8_binomial_p(spark, folder):
+    """Exact two-sided p of each motif's strand balance."""
+    return st8_binomial(spark, folder).select("motif_id", "x", "n", F.round("p_value", 9).alias("p_value"))
 
 
 @REG.add("st8_binomial")
@@ -141,26 +214,68 @@ def st8_binomial(spark, folder):
 
 
 @REG.add("st9_chi_square", """WITH c AS (SELECT o_orderstatus AS a, o_orderpriority AS b, count(*) AS o FROM orders WHERE o_orderstatus IS NOT NULL AND o_orderpriority IS NOT NULL GROUP BY 1, 2),
-e AS (SELECT x.a, y.b, x.r * y.c / (SELECT sum(o) FROM c) AS e FROM (SELECT a, sum(o) AS r FROM c GROUP BY 1) x, (SELECT b, sum(o) AS c FROM c GROUP BY 1) y)
-SELECT round(sum((coalesce(o, 0) - e) * (coalesce(o, 0) - e) / e), 6) AS statistic, CAST((count(DISTINCT e.a) - 1) * (count(DISTINCT e.b) - 1) AS BIGINT) AS df FROM e LEFT JOIN c ON c.a = e.a AND c.b = e.b""")
+e AS (SELECT x.a, y.b, x.r * y.c / (SELECT sum(o) FROM c) AS e FROM (SELECT a, sum(o) AS r FROM c GROUP BY 1) x, (SELECT b, sum(o) AS c FROM c GROUP BY 1) y),
+x AS (SELECT sum((coalesce(o, 0) - e) * (coalesce(o, 0) - e) / e) AS s, CAST((count(DISTINCT e.a) - 1) * (count(DISTINCT e.b) - 1) AS BIGINT) AS v FROM e LEFT JOIN c ON c.a = e.a AND c.b = e.b)
+SELECT round(s, 6) AS statistic, v AS df, round(area, 7) AS p_value FROM """ + _area(_CHI2, "x", "x.*", "s", 200.0))
 def st9_chi_square(spark, folder):
-    return st.chi_square(table(spark, folder, "orders"), "o_orderstatus", "o_orderpriority").select(F.round("statistic", 6).alias("statistic"), "df")
+    return st.chi_square(table(spark, folder, "orders"), "o_orderstatus", "o_orderpriority").select(F.round("statistic", 6).alias("statistic"), "df", F.round("p_value", 7).alias("p_value"))
 
 
-@REG.add("st10_welch", "WITH s AS (SELECT count(x) FILTER (g) AS n1, count(x) FILTER (NOT g) AS n2, avg(x) FILTER (g) AS m1, avg(x) FILTER (NOT g) AS m2, var_samp(x) FILTER (g) AS v1, var_samp(x) FILTER (NOT g) AS v2 FROM (SELECT l_extendedprice AS x, l_returnflag = 'R' AS g FROM lineitem)) SELECT n1, n2, round((m1 - m2) / sqrt(v1 / n1 + v2 / n2), 7) AS t, round(pow(v1 / n1 + v2 / n2, 2) / (pow(v1 / n1, 2) / (n1 - 1) + pow(v2 / n2, 2) / (n2 - 1)), 3) AS df FROM s")
+@REG.add("st10_welch", "WITH s AS (SELECT count(x) FILTER (g) AS n1, count(x) FILTER (NOT g) AS n2, avg(x) FILTER (g) AS m1, avg(x) FILTER (NOT g) AS m2, var_samp(x) FILTER (g) AS v1, var_samp(x) FILTER (NOT g) AS v2 FROM (SELECT l_extendedprice AS x, l_returnflag = 'R' AS g FROM lineitem)) SELECT n1, n2, round(t, 7) AS t, round(v, 3) AS df, round(2 * area, 7) AS p_value FROM " + _area(_STUDENT, "(SELECT *, (m1 - m2) / sqrt(v1 / n1 + v2 / n2) AS t, pow(v1 / n1 + v2 / n2, 2) / (pow(v1 / n1, 2) / (n1 - 1) + pow(v2 / n2, 2) / (n2 - 1)) AS v FROM s) s", "s.*", "abs(t)", 40.0))
 def st10_welch(spark, folder):
     w = st.welch(table(spark, folder, "lineitem"), "l_extendedprice", F.col("l_returnflag") == "R")
-    return w.select("n1", "n2", F.round("t", 7).alias("t"), F.round("df", 3).alias("df"))
-
-
-@REG.add("st10_exact_splits")
+    return w.select("n1", "n2", F.round("t", 7).alias("t"), F.round("df", 3).alias("df"), F.round("p_value", 7).alias("p_value"))
+
+
+# lineitems of orders that have exactly six, with all choices of three of them
+_SIX = """WITH six AS (SELECT l_orderkey, list(l_extendedprice ORDER BY l_linenumber, l_extendedprice) AS v FROM lineitem GROUP BY 1 HAVING count(*) = 6 AND count(l_extendedprice) = 6),
+pick AS (SELECT a.i AS a, b.i AS b, c.i AS c FROM range(1, 7) a(i), range(1, 7) b(i), range(1, 7) c(i) WHERE a.i < b.i AND b.i < c.i)"""
+_SPLITS = _SIX + """, d AS (SELECT l_orderkey, abs((v[a] + v[b] + v[c]) / 3 - (list_sum(v) - v[a] - v[b] - v[c]) / 3) AS d, a = 1 AND b = 2 AND c = 3 AS seen FROM six, pick),
+s AS (SELECT l_orderkey, d AS s FROM d WHERE seen)
+SELECT d.l_orderkey, round(avg(CASE WHEN d >= s - 1e-9 THEN 1.0 ELSE 0.0 END), 6) AS p_value FROM d JOIN s ON d.l_orderkey = s.l_orderkey GROUP BY 1"""
+_EXACT_SUM = _SIX + """, law AS (SELECT a + b + c - 6 AS u, count(*) / 20.0 AS p FROM pick GROUP BY 1), line AS (SELECT l_orderkey, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM six),
+r AS (SELECT *, rank() OVER (PARTITION BY l_orderkey ORDER BY x) AS r, count(*) OVER (PARTITION BY l_orderkey, x) AS t FROM line), w AS (SELECT l_orderkey, sum(r) FILTER (i <= 3) - 6 AS u FROM r GROUP BY 1 HAVING max(t) = 1)
+SELECT l_orderkey, CAST(w.u AS DOUBLE) AS u, round(least(1.0, 2 * least(sum(p) FILTER (law.u <= w.u), sum(p) FILTER (law.u >= w.u))), 9) AS p_exact FROM w, law GROUP BY 1, 2, w.u"""
+_SIGNS = _SIX.replace("l_extendedprice ORDER BY l_linenumber, l_extendedprice", "l_extendedprice - 1500 * l_quantity ORDER BY l_linenumber, l_extendedprice").replace("count(l_extendedprice) = 6", "count(l_extendedprice) = 6 AND count(l_quantity) = 6") + """,
+line AS (SELECT l_orderkey, unnest(v) AS d, generate_subscripts(v, 1) AS i FROM six), r AS (SELECT l_orderkey, d, rank() OVER (PARTITION BY l_orderkey ORDER BY abs(d)) AS r, count(*) OVER (PARTITION BY l_orderkey, abs(d)) AS t FROM line),
+w AS (SELECT l_orderkey, coalesce(sum(r) FILTER (d > 0), 0) AS v FROM r GROUP BY 1 HAVING max(t) = 1 AND min(abs(d)) > 0),
+law AS (SELECT m AS mask, sum(CASE WHEN (m >> (k - 1)) & 1 = 1 THEN k ELSE 0 END) AS v FROM range(0, 64) a(m), range(1, 7) b(k) GROUP BY 1)
+SELECT l_orderkey, CAST(w.v AS DOUBLE) AS v, round(least(1.0, 2 * least(count(*) FILTER (law.v <= w.v) / 64, count(*) FILTER (law.v >= w.v) / 64)), 9) AS p_value FROM w, law GROUP BY 1, 2, w.v"""
+
+
+def _six_lines(spark, folder, *columns):
+    rows = table(spark, folder, "lineitem").select("l_orderkey", F.struct("l_linenumber", *columns).alias("x"))
+    six = rows.groupBy("l_orderkey").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("x")).alias("v")).where("n = 6")
+    return six.where(F.forall("v", lambda x: F.lit(True) if not columns else x[columns[0]].isNotNull() & x[columns[-1]].isNotNull()))
+
+
+@REG.add("st5_exact_rank_sum", _EXACT_SUM)
+def st5_exact_rank_sum(spark, folder):
+    """Exact rank-sum test of the first three lines of each order of six against the others, where no prices are equal."""
+    rows = _six_lines(spark, folder, "l_extendedprice").select("l_orderkey", F.posexplode("v").alias("i", "x"))
+    w = st.wilcoxon(st.rank_sums(rows.select("l_orderkey", F.col("x.l_extendedprice").alias("x"), "i"), "x", F.col("i") < 3, ["l_orderkey"]))
+    return w.where("ties = 0").select("l_orderkey", "u", F.round("p_exact", 9).alias("p_exact"))
+
+
+@REG.add("st5_paired", _SIGNS)
+def st5_paired(spark, folder):
+    """Paired signed-rank test of the six prices of an order against 1,500 a piece, where no two differences have one size."""
+    six = _six_lines(spark, folder, "l_extendedprice", "l_quantity")
+    price, quantity = F.transform("v", lambda x: x["l_extendedprice"]), F.transform("v", lambda x: x["l_quantity"] * 1500)
+    gaps = F.transform("v", lambda x: F.abs(x["l_extendedprice"] - x["l_quantity"] * 1500))
+    six = six.where((F.size(F.array_distinct(gaps)) == 6) & (F.array_min(gaps) > 0))
+    t = st.per_row(lambda a, b: list(st.signed_rank_paired(list(a), list(b))), "array<double>", price, quantity)
+    return six.withColumn("t", t).select("l_orderkey", F.col("t")[0].alias("v"), F.round(F.col("t")[1], 9).alias("p_value"))
+
+
+@REG.add("st10_exact_splits", _SPLITS)
 def st10_exact_splits(spark, folder):
     """Exhaustive split test of three against three: lineitems of each order that has exactly six."""
     rows = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
     six = rows.groupBy("l_orderkey").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("l_linenumber", "l_extendedprice"))).alias("v")).where("n = 6")
     flat = F.transform("v", lambda x: x["l_extendedprice"])
     p = st.per_row(lambda v: st.exact_split_p(list(v[:3]), list(v[3:])) if len(v) == 6 and all(x is not None and x == x for x in v) else None, "double", flat)
-    return six.select("l_orderkey", p.alias("p_value"))
+    return six.select("l_orderkey", F.round(p, 6).alias("p_value")).where("p_value is not null")
 
 
 @REG.add("st11_simple_line", "SELECT l_returnflag, count(*) AS n, round(regr_slope(l_extendedprice, l_quantity), 5) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 3) AS intercept, round(regr_r2(l_extendedprice, l_quantity), 8) AS r2 FROM lineitem GROUP BY 1")

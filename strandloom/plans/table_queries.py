@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandloom.operators import tables as tb
+from strandloom.operators.ordered import prefix_sum_within
 from strandloom.plans.base import PEAKS, Registry, peaks
 from strandloom.session import table
 
@@ -221,7 +222,7 @@ _TOK = "SELECT unnest(string_split_regex(trim(geneset_type), '[ _:-]+')) AS toke
 def a10_token_counts(spark, folder):
     t = table(spark, folder, "chipenrich_dys_tgo_gobp").where("geneset_type is not null").select(F.explode(F.split(F.trim("geneset_type"), "[ _:-]+")).alias("token"))
     n = t.groupBy("token").agg(F.count("*").alias("n"))
-    return n.withColumn("percent", F.round(100.0 * F.col("n") / F.sum("n").over(W.partitionBy(F.lit(0))), 6))
+    return n.join(F.broadcast(n.agg(F.sum("n").alias("all")))).select("token", "n", F.round(100.0 * F.col("n") / F.col("all"), 6).alias("percent"))  # one row of the total
 
 
 @REG.add("a11_delimited_max", "SELECT p_partkey, max(CAST(x AS BIGINT)) AS top FROM (SELECT p_partkey, unnest(string_split(p_size || ';' || (p_partkey % 97) || ';' || (p_partkey % 13), ';')) AS x FROM part) GROUP BY 1")
@@ -278,9 +279,10 @@ def w3_percentile_rank(spark, folder):
 
 @REG.add("w4_rank_of_means", "SELECT l_suppkey, rank() OVER (ORDER BY round(avg(l_discount), 9) DESC) AS r FROM lineitem GROUP BY 1")
 def w4_rank_of_means(spark, folder):
-    """Means of the few suppliers are ranked after the aggregation."""
+    """Equal means are counted, and ranks come from a scan over the sorted means."""
     m = table(spark, folder, LINE).groupBy("l_suppkey").agg(F.round(F.avg("l_discount"), 9).alias("m"))
-    return m.select("l_suppkey", F.rank().over(W.partitionBy(F.lit(0)).orderBy(F.col("m").desc())).cast("bigint").alias("r"))
+    ranked = prefix_sum_within(m.groupBy("m").agg(F.count("*").alias("c")).withColumn("falling", -F.col("m")), [], ["falling"], "c", "upto")
+    return m.join(ranked, "m").select("l_suppkey", (F.col("upto") - F.col("c") + 1).alias("r"))
 
 
 @REG.add("w5_quantile_bins", """WITH q AS (SELECT quantile_cont(l_extendedprice, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS e FROM lineitem)
@@ -344,4 +346,10 @@ def x_grouping_sets(spark, folder):
     return o.groupingSets(sets, "o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
+@REG.add("proj6_stars", "SELECT match_id, CASE WHEN p_value < 0.001 THEN '***' WHEN p_value < 0.01 THEN '**' WHEN p_value < 0.05 THEN '*' ELSE 'ns' END AS mark FROM tomtom WHERE p_value IS NOT NULL AND NOT isnan(p_value)")
+def proj6_stars(spark, folder):
+    t = table(spark, folder, "tomtom").where("p_value is not null and not isnan(p_value)")
+    return t.select("match_id", tb.stars(F.col("p_value")).alias("mark"))
+
+
 QUERIES, SQL = REG.queries, REG.sql
