@@ -315,3 +315,15 @@ def matrix_similarity(a: np.ndarray, b: np.ndarray, least: int = 4) -> tuple[flo
             if score > best[0] + 1e-12:
                 best = (score, offset, orientation, hi - lo)
     return best
+
+
+def similarity_p(a: np.ndarray, b: np.ndarray, draws: int, key: str, least: int = 4) -> float:
+    """Share of ``draws`` column orders of ``b`` that match ``a`` as well as ``b`` does, ``b`` itself counted: never 0, fixed by ``key``."""
+    rng = random.Random(key)
+    seen = matrix_similarity(a, b, least)[0]
+    order = list(range(len(b)))
+    as_good = 1
+    for _ in range(draws):
+        rng.shuffle(order)
+        as_good += matrix_similarity(a, b[order], least)[0] >= seen - 1e-12
+    return as_good / (draws + 1)

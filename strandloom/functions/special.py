@@ -212,6 +212,15 @@ def binomial_test(x: int, n: int, p: float) -> float:
     return float(min(1.0, np.exp(logs[logs <= logs[x] + 1e-7]).sum()))
 
 
+def binomial_tail(x: int, n: int, p: float) -> float:
+    """P(X >= x) of ``n`` trials that succeed with probability ``p``."""
+    if x <= 0:
+        return 1.0
+    k = np.arange(x, n + 1)
+    logs = log_gamma(n + 1.0) - log_gamma(k + 1.0) - log_gamma(n - k + 1.0) + k * math.log(p) + (n - k) * math.log1p(-p)
+    return float(min(1.0, np.exp(logs).sum()))
+
+
 def binomial_interval(x: int, n: int, level: float = 0.95) -> tuple[float, float]:
     """Exact interval of a proportion (Clopper and Pearson)."""
     alpha = (1 - level) / 2

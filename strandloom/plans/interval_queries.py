@@ -36,6 +36,17 @@ def j1_overlap_pairs(spark, folder):
     return p.select("a_hit_id", "b_hit_id", F.greatest("a_s", "b_s").alias("s"), F.least("a_e", "b_e").alias("e"))
 
 
+@REG.add("j14_two_ways", "SELECT 0 AS only_first, 0 AS only_second")
+def j14_two_ways(spark, folder):
+    """The overlap join against a second implementation that shares no code with it: a range join by chromosome; pairs that only one finds."""
+    a, b = (x.select("hit_id", "chrom", "s", "e") for x in _split(spark, folder))
+    first = iv.overlap_pairs(a, b, HIT, HIT, width=64).select(F.col("a_hit_id").alias("x"), F.col("b_hit_id").alias("y"), F.lit(1).alias("n"))
+    meet = (F.col("a.chrom") == F.col("b.chrom")) & (F.col("a.s") < F.col("b.e")) & (F.col("b.s") < F.col("a.e"))
+    second = a.alias("a").join(b.alias("b"), meet).select(F.col("a.hit_id").alias("x"), F.col("b.hit_id").alias("y"), F.lit(-1).alias("n"))
+    differ = first.unionByName(second).groupBy("x", "y").agg(F.sum("n").alias("n"))
+    return differ.agg(F.count_if(F.col("n") > 0).cast("int").alias("only_first"), F.count_if(F.col("n") < 0).cast("int").alias("only_second"))
+
+
 @REG.add("j9_joint_set", _TWO + f"SELECT DISTINCT a.chrom, greatest(a.s, b.s) AS s, least(a.e, b.e) AS e FROM plus a JOIN minus b ON {_MEET}")
 def j9_joint_set(spark, folder):
     a, b = _split(spark, folder)
@@ -99,7 +110,16 @@ def j10_nearest_distance(spark, folder):
     return iv.nearest(peaks(spark, folder), best, iv.DEFAULT, HIT).select("name", "distance")
 
 
-@REG.add("j11_nearest_id")
+_NEAREST_ID = f"""WITH {HITS}, best AS (SELECT * FROM hit WHERE hit_score >= 12 AND NOT isnan(hit_score)), met AS (
+  SELECT p.name, b.hit_id, b.s, b.e, b.s <= p.chrom_start AS before, greatest(0, CASE WHEN b.s <= p.chrom_start THEN p.chrom_start - b.e ELSE b.s - p.chrom_end END) AS d
+  FROM peak p JOIN best b ON p.chrom = b.chrom
+), one AS (
+  SELECT name, arg_min(hit_id, (-e, s, hit_id)) FILTER (before) AS id_b, min(d) FILTER (before) AS d_b, arg_min(hit_id, (s, hit_id)) FILTER (NOT before) AS id_a, min(d) FILTER (NOT before) AS d_a FROM met GROUP BY 1
+)
+SELECT p.name, CASE WHEN d_a IS NULL OR d_b <= d_a THEN id_b ELSE id_a END AS nearest_id, least(d_b, d_a) AS distance FROM peak p LEFT JOIN one o ON p.name = o.name"""
+
+
+@REG.add("j11_nearest_id", _NEAREST_ID)
 def j11_nearest_id(spark, folder):
     best = hits(spark, folder).where("hit_score >= 12 and not isnan(hit_score)")
     return iv.nearest(peaks(spark, folder), best, iv.DEFAULT, HIT).select("name", "nearest_id", "distance")

@@ -6,8 +6,10 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from strandloom.functions import sequence as sq
+from strandloom.functions import special as sp
+from strandloom.functions import statistics as st
 from strandloom.plans.base import DNA, Registry, dna
-from strandloom.session import table
+from strandloom.session import materialize, table
 
 REG = Registry()
 
@@ -96,10 +98,26 @@ def q10_register_score(spark, folder):
     return table(spark, folder, "fimo").where("length(matched_sequence) >= 5").select("hit_id", F.round(total, 5).alias("score"))
 
 
-@REG.add("q11_q12_scan")
+def _scan_sql(least):
+    """All windows of five letters on both strands with their p: the share of the 1,024 words that score as high or higher, in hundredths."""
+    ints = np.rint(WEIGHTS * 100).astype(int)
+    rows = ", ".join(f"({j}, '{c}', {int(w[k])})" for j, w in enumerate(ints) for k, c in enumerate("ACGT"))
+    letters = "(SELECT unnest(['A', 'C', 'G', 'T']) AS c)"
+    return f"""WITH {DNA}, w(j, c, x) AS (VALUES {rows}), word AS (SELECT a.c || b.c || d.c || e.c || f.c AS word FROM {letters} a, {letters} b, {letters} d, {letters} e, {letters} f),
+scored AS (SELECT word, sum(x) AS s FROM (SELECT word, unnest(range(1, 6)) AS i FROM word) l JOIN w ON w.j = l.i - 1 AND w.c = word[i] GROUP BY 1),
+tail AS (SELECT s, sum(sum(n)) OVER (ORDER BY s DESC) / 1024.0 AS p FROM (SELECT s, count(*) AS n FROM scored GROUP BY 1) GROUP BY s),
+known AS (SELECT word, '+' AS strand, scored.s, p FROM scored JOIN tail ON scored.s = tail.s UNION ALL SELECT reverse(translate(word, 'ACGT', 'TGCA')), '-', scored.s, p FROM scored JOIN tail ON scored.s = tail.s),
+place AS (SELECT doc_id, i AS pos, seq[i:i + 4] AS word FROM (SELECT doc_id, seq, unnest(range(1, length(seq) - 3)) AS i FROM dna)),
+hit AS (SELECT doc_id, CAST(pos AS INTEGER) AS pos, strand, k.s / 100.0 AS score, p AS p_value FROM place JOIN known k ON place.word = k.word WHERE p <= {least})"""
+
+
+@REG.add("q11_q12_scan", _scan_sql(0.002) + """, r AS (SELECT *, rank() OVER (ORDER BY p_value DESC) AS down, count(*) OVER () AS n FROM hit),
+q AS (SELECT p_value, min(x) OVER (ORDER BY p_value DESC) AS q FROM (SELECT p_value, max(p_value * n / (n - down + 1)) AS x FROM r GROUP BY 1))
+SELECT doc_id, pos, strand, round(CAST(score AS DOUBLE), 6) AS score, round(CAST(r.p_value AS DOUBLE), 9) AS p_value, round(least(1.0, CAST(q AS DOUBLE)), 9) AS q_value FROM r JOIN q ON r.p_value = q.p_value""")
 def q11_q12_scan(spark, folder):
-    """Windows with p <= 0.002 on both strands; p-values from the exact score distribution."""
-    return sq.scan(dna(spark, folder), "seq", ["doc_id"], WEIGHTS, 0.002)
+    """Windows with p <= 0.002 on both strands; p from the exact score distribution, q by Benjamini and Hochberg over the reported windows."""
+    found = materialize(sq.scan(dna(spark, folder), "seq", ["doc_id"], WEIGHTS, 0.002))
+    return st.adjusted(found, "p_value", "q_value").select("doc_id", "pos", "strand", *(F.round(c, d).alias(c) for c, d in (("score", 6), ("p_value", 9), ("q_value", 9))))
 
 
 _COUNTS = "c AS (SELECT motif_id, i AS pos, matched_sequence[i] AS letter, count(*) AS n FROM (SELECT motif_id, matched_sequence, unnest(range(1, length(matched_sequence) + 1)) AS i FROM fimo WHERE motif_id IS NOT NULL AND motif_id NOT LIKE '#%' AND matched_sequence IS NOT NULL) GROUP BY ALL)"
@@ -132,9 +150,24 @@ def q15_slices(spark, folder):
     return table(spark, folder, "motif_library").select("motif_id", F.substring("consensus", 1, 4).alias("head"), F.expr("substring(consensus, 5)").alias("tail"), flipped.alias("flipped"))
 
 
+@REG.add("q16_ranked", "SELECT 0 AS n_low_p, 0 AS n_bad_e, 0 AS n_unordered")
+def q16_ranked(spark, folder):
+    """What p, E and q of the comparisons must satisfy: p above 0, E p times the library, q in the order of p; rows that break it."""
+    t = q16_motif_similarity(spark, folder)
+    n = table(spark, folder, "motif_library").agg(F.count("*").alias("n"))  # one row
+    bad = t.join(F.broadcast(n)).agg(
+        F.count_if((F.col("p_value") <= 0) | (F.col("p_value") > 1)).cast("int").alias("n_low_p"), F.count_if(F.abs(F.col("e_value") - F.col("p_value") * F.col("n")) > 1e-9).cast("int").alias("n_bad_e"),
+        F.count_if(F.col("q_value") < F.col("p_value") - 1e-12).cast("int").alias("n_unordered"),
+    )
+    return bad
+
+
 @REG.add("q16_motif_similarity")
 def q16_motif_similarity(spark, folder):
-    """Every two motifs of the library, which is fixed and small, by their best aligned column correlation."""
+    """Every two motifs of the library, which is fixed and small, by their best aligned column correlation; p, E and q by a null of shuffled columns.
+
+    The null of a query and a target is the score against the target with its columns in 99 random orders, fixed by both names.
+    """
     import pyarrow as pa
 
     lib = table(spark, folder, "motif_library").select("motif_id", "consensus")
@@ -146,11 +179,16 @@ def q16_motif_similarity(spark, folder):
             return np.array(rows)
 
         for b in batches:
-            found = [sq.matrix_similarity(matrix(x), matrix(y)) for x, y in zip(b.column("consensus").to_pylist(), b.column("other").to_pylist(), strict=True)]
-            cols = list(zip(*found, strict=True)) or [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([b.column("motif_id"), b.column("other_id"), pa.array(cols[0], pa.float64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.int32())], names=["motif_id", "other_id", "score", "shift", "orientation", "overlap"])
+            texts = zip(*(b.column(c).to_pylist() for c in ("motif_id", "consensus", "other_id", "other")), strict=True)
+            found = [(*sq.matrix_similarity(matrix(x), matrix(y)), sq.similarity_p(matrix(x), matrix(y), 99, f"{m}|{o}")) for m, x, o, y in texts]
+            cols = list(zip(*found, strict=True)) or [[], [], [], [], []]
+            kinds = (pa.float64(), pa.int32(), pa.string(), pa.int32(), pa.float64())
+            yield pa.RecordBatch.from_arrays([b.column("motif_id"), b.column("other_id"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["motif_id", "other_id", "score", "shift", "orientation", "overlap", "p_value"])
 
-    return pairs.mapInArrow(compare, "motif_id string, other_id string, score double, shift int, orientation string, overlap int")
+    n = lib.agg(F.count("*").alias("_n"))  # one row
+    compared = materialize(pairs.mapInArrow(compare, "motif_id string, other_id string, score double, shift int, orientation string, overlap int, p_value double"))
+    with_e = compared.join(F.broadcast(n)).withColumn("e_value", F.col("p_value") * F.col("_n")).drop("_n")
+    return st.adjusted(with_e, "p_value", "q_value", ["motif_id"])
 
 
 @REG.add("q18_best_site_position", "SELECT sequence_name, (\"start\" // 50) AS bin, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY sequence_name, motif_id ORDER BY score DESC, hit_id) AS r FROM fimo WHERE score IS NOT NULL AND NOT isnan(score) AND sequence_name IS NOT NULL AND \"start\" >= 0) WHERE r = 1 GROUP BY 1, 2")
@@ -162,6 +200,37 @@ def q18_best_site_position(spark, folder):
     return best.groupBy("sequence_name", F.floor(F.col("at") / 50).alias("bin")).agg(F.count("*").alias("n"))
 
 
+_SITES = """best AS (SELECT sequence_name, motif_id, arg_max("start", (score, -hit_id)) AS p FROM fimo WHERE score IS NOT NULL AND NOT isnan(score) AND sequence_name IS NOT NULL AND motif_id IS NOT NULL AND "start" BETWEEN 1 AND 200 GROUP BY 1, 2),
+c AS (SELECT motif_id, count(*) AS n, count(*) FILTER (p BETWEEN 76 AND 125) AS x FROM best GROUP BY 1)"""
+
+
+@REG.add("q18_central_enrichment", f"""WITH {_SITES}, t AS (SELECT *, unnest(range(x, n + 1)) AS i FROM c)
+SELECT motif_id, n, x, printf('%.5e', least(1.0, sum(exp(lgamma(n + 1.0) - lgamma(i + 1.0) - lgamma(n - i + 1.0) + i * ln(0.25) + (n - i) * ln(0.75))))) AS p FROM t GROUP BY 1, 2, 3""")
+def q18_central_enrichment(spark, folder):
+    """Whether best sites in the first 200 positions lie in the middle quarter more often than a quarter of the time: upper binomial tails."""
+    f = table(spark, folder, "fimo").where("score is not null and not isnan(score) and sequence_name is not null and motif_id is not null and start between 1 and 200")
+    best = f.groupBy("sequence_name", "motif_id").agg(F.max_by("start", F.struct("score", -F.col("hit_id"))).alias("at"))
+    c = best.groupBy("motif_id").agg(F.count("*").alias("n"), F.count_if(F.col("at").between(76, 125)).alias("x"))
+    p = st.per_row(lambda x, n: sp.binomial_tail(int(x), int(n), 0.25), "double", F.col("x"), F.col("n"))
+    return c.select("motif_id", "n", "x", F.format_string("%.5e", p).alias("p"))
+
+
+@REG.add("q19_shuffle_keeps", "SELECT 2 * count(*) AS n, 0 AS n_letters_lost, 0 AS n_neighbours_lost, 0 AS n_ends_moved FROM fimo WHERE matched_sequence IS NOT NULL")
+def q19_shuffle_keeps(spark, folder):
+    """What shuffles must keep: every letter, every pair of neighbours, both ends; shuffles that lose one."""
+    f = table(spark, folder, "fimo").select("hit_id", "matched_sequence")
+    s = q19_shuffle(spark, folder).join(f, "hit_id")
+    a, b = F.col("matched_sequence"), F.col("shuffled")
+    letters = lambda c: F.sort_array(F.split(c, ""))
+    n = F.length("matched_sequence")
+    pairs = lambda c: F.sort_array(F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(2))))
+    ends = (F.substring(a, 1, 1) == F.substring(b, 1, 1)) & (F.substring(a, -1, 1) == F.substring(b, -1, 1))
+    return s.agg(
+        F.count("*").alias("n"), F.count_if(letters(a) != letters(b)).cast("int").alias("n_letters_lost"),
+        F.count_if(pairs(a) != pairs(b)).cast("int").alias("n_neighbours_lost"), F.count_if(~ends).cast("int").alias("n_ends_moved"),
+    )
+
+
 @REG.add("q19_shuffle")
 def q19_shuffle(spark, folder):
     """Two shuffles of every matched sequence that keep neighbour counts."""

@@ -153,4 +153,105 @@ def k8_read_value(spark, folder):
     return first_by(o.where("o_orderstatus = 'F'").select(F.col("o_orderstatus").alias("name")), ["name"], [F.col("name")]).withColumn("value", F.lit(found))
 
 
+def _text_trip(spark, lines, read, **options):
+    """Write text lines to a folder of its own, read them back, remove the folder."""
+    return _round_trip(spark, lambda to: lines.write.options(**options).text(to), read)
+
+
+@REG.add("s3_replicate_peaks", f"WITH {PEAKS} SELECT chrom, chrom_start, chrom_end FROM peak WHERE CASE WHEN chrom_start % 2 = 0 THEN (chrom_start % 300) / 100.0 >= 1.301 ELSE chrom_start % 1000 >= 540 END")
+def s3_replicate_peaks(spark, folder):
+    """Raw replicate output: rows of 12 fields are kept by the twelfth, rows of 10 by their score."""
+    start = F.col("chrom_start")
+    ten = [F.col("chrom"), start, F.col("chrom_end"), F.col("name"), start % 1000, F.lit("."), F.lit(-1), F.lit(-1), F.lit(-1), F.lit(0)]
+    twelve = [*ten, F.lit(0.5), (start % 300) / 100.0]
+    line = lambda fields: F.concat_ws("\t", *(c.cast("string") for c in fields))
+    lines = peaks(spark, folder).select(F.when(start % 2 == 0, line(twelve)).otherwise(line(ten)))
+    return _text_trip(spark, lines, lambda at: rd.read_replicate_peaks(spark, at))
+
+
+@REG.add("s8_discovery_blocks", "SELECT CAST(row_number() OVER (ORDER BY motif_id) AS BIGINT) AS rank, motif_id[1:6] || '-' || consensus AS name, e_value, regexp_matches(consensus, 'CG') AS wanted FROM motif_library")
+def s8_discovery_blocks(spark, folder):
+    """Blocks of a motif discovery's report, in file order."""
+    m = table(spark, folder, "motif_library")
+    number = F.substring("motif_id", 4, 3)
+    block = F.concat(F.lit("MOTIF "), number, F.lit("-"), F.col("consensus"), F.lit(" STREME\nletter-probability matrix: alength= 4 w= 1 nsites= 9 E= "), F.col("e_value").cast("string"), F.lit("\n 0.25 0.25 0.25 0.25\n"))
+    whole = m.groupBy().agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("motif_id", block.alias("b")))), lambda x: x["b"]), "\n"))  # the library is fixed and small
+    t = _text_trip(spark, whole, lambda at: rd.read_discovery(spark, at, "CG"))
+    named = F.concat(F.lit("LIB"), F.split("motif_id", "-")[0], F.lit("-"), F.col("consensus"))
+    return t.select(F.col("rank").cast("bigint").alias("rank"), named.alias("name"), "e_value", "wanted")
+
+
+_COUNT_ROWS = "SELECT motif_id, i, ascii(consensus[i]) % 5 AS a, ascii(consensus[i]) % 7 AS c, i % 3 AS g, CASE WHEN i % 4 = 0 THEN 0 ELSE 2 END AS t FROM (SELECT motif_id, consensus, unnest(range(1, length(consensus) + 1)) AS i FROM motif_library)"
+
+
+@REG.add("s9_count_matrices", f"SELECT motif_id, CAST(i AS BIGINT) AS pos, round(a / greatest(a + c + g + t, 1), 9) AS a, round(c / greatest(a + c + g + t, 1), 9) AS c, round(g / greatest(a + c + g + t, 1), 9) AS g, round(t / greatest(a + c + g + t, 1), 9) AS t FROM ({_COUNT_ROWS})")
+def s9_count_matrices(spark, folder):
+    """Count rows under ``>id`` lines as probabilities."""
+    def row(letter, i):  # i from 0
+        at = i + 1
+        return F.concat_ws(" ", (F.ascii(letter) % 5).cast("string"), (F.ascii(letter) % 7).cast("string"), (at % 3).cast("string"), F.when(at % 4 == 0, "0").otherwise("2"))
+
+    letters = F.filter(F.split("consensus", ""), lambda x: x != "")
+    m = table(spark, folder, "motif_library").select(F.concat(F.lit(">"), F.col("motif_id"), F.lit("\n"), F.array_join(F.transform(letters, row), "\n")))
+    t = _text_trip(spark, m, lambda at: rd.read_count_matrices(spark, at))
+    return t.select("motif_id", F.col("pos").cast("bigint").alias("pos"), *(F.round(x, 9).alias(x) for x in "acgt"))
+
+
+@REG.add("s12_skipped_line", "SELECT CAST(row_number() OVER (ORDER BY motif_id) + 1 AS BIGINT) AS line_no, motif_id, motif_width FROM motif_library")
+def s12_skipped_line(spark, folder):
+    """A gzipped table whose first line is no header."""
+    m = table(spark, folder, "motif_library").groupBy().agg(F.sort_array(F.collect_list(F.concat_ws("\t", "motif_id", F.col("motif_width").cast("string")))).alias("l"))
+    lines = m.select(F.concat(F.lit("made by a scan\n"), F.array_join("l", "\n")))  # the library is fixed and small
+    t = _text_trip(spark, lines, lambda at: rd.read_table_skipping(spark, at), compression="gzip")
+    return t.select("line_no", F.col("fields")[0].alias("motif_id"), F.col("fields")[1].cast("int").alias("motif_width"))
+
+
+@REG.add("s19_quality", "SELECT p_partkey % 400 AS fragment, count(*) AS n FROM part GROUP BY 1")
+def s19_quality(spark, folder):
+    """The first of several estimates in a report's third column."""
+    k = F.col("p_partkey")
+    estimates = F.concat_ws(",", (k % 400).cast("string"), (k % 7).cast("string"), F.lit("0"))
+    lines = table(spark, folder, "part").select(F.concat_ws("\t", F.concat(F.lit("r"), k.cast("string")), F.lit("12345"), estimates, F.lit("0.9")))
+    t = _text_trip(spark, lines, lambda at: rd.read_quality(spark, at))
+    return t.groupBy(F.col("fragment").cast("bigint").alias("fragment")).agg(F.count("*").alias("n"))
+
+
+def _logs(spark, folder, text):
+    """One file per nation, in a folder named after it."""
+    return table(spark, folder, "nation").select(F.col("n_nationkey").alias("k"), text.alias("value"))
+
+
+@REG.add("s20_log_numbers", "SELECT CAST(n_nationkey AS INTEGER) AS k, CAST(n_nationkey * 137 + 5 AS VARCHAR) AS tags, CASE WHEN n_nationkey % 3 = 0 THEN NULL ELSE CAST(n_nationkey + 100 AS VARCHAR) END AS size FROM nation")
+def s20_log_numbers(spark, folder):
+    """Numbers of a peak caller's logs, null where a line is missing."""
+    k = F.col("n_nationkey")
+    second = F.when(k % 3 != 0, F.concat(F.lit("\n# d is "), (k + 100).cast("string"), F.lit(" bps"))).otherwise(F.lit(""))
+    logs = _logs(spark, folder, F.concat(F.lit("INFO  @ start\nINFO  # tags after filtering in treatment: "), (k * 137 + 5).cast("string"), second, F.lit("\ndone")))
+    found = _round_trip(spark, lambda to: logs.write.partitionBy("k").text(to), lambda at: rd.scrape(spark, at, {"tags": r"in treatment: (\d+)", "size": r"d is (\d+) bps"}))
+    return found.select(F.regexp_extract("file", r"k=(\d+)", 1).cast("int").alias("k"), "tags", "size")
+
+
+@REG.add("s22_report_ids", "SELECT CAST(n_nationkey AS INTEGER) AS k, 'reports/' || lower(printf('%x', CAST(n_nationkey * 7919 + 4096 AS BIGINT))) AS report FROM nation")
+def s22_report_ids(spark, folder):
+    """The first report a page links to."""
+    k = F.col("n_nationkey")
+    page = F.concat(F.lit('<html>\n<a href="/about">x</a> <a href="/reports/'), F.lower(F.hex(k * 7919 + 4096)), F.lit('">one</a>\n<a href="/reports/ffff">two</a></html>'))
+    pages = _logs(spark, folder, page)
+    found = _round_trip(spark, lambda to: pages.write.partitionBy("k").text(to), lambda at: rd.scrape(spark, at, {"report": r"(reports/[0-9a-f]+)"}))
+    return found.select(F.regexp_extract("file", r"k=(\d+)", 1).cast("int").alias("k"), "report")
+
+
+@REG.add("s23_same_content", "SELECT true AS same, false AS changed")
+def s23_same_content(spark, folder):
+    """Whether files have the same bytes: a copy does, one with a line more doesn't."""
+    lines = table(spark, folder, "nation").select(F.col("n_name").alias("value")).coalesce(1).sortWithinPartitions("value")
+    paths = [new_folder(spark, "text") for _ in range(3)]
+    for path, what in zip(paths, (lines, lines, lines.unionByName(lines.limit(1)).coalesce(1)), strict=True):
+        what.write.text(path)
+    same, changed = (rd.same_content(spark, f"{paths[0]}/part-*", f"{p}/part-*") for p in paths[1:])
+    for path in paths:
+        remove_folder(spark, path)
+    return spark.createDataFrame([(same, changed)], "same boolean, changed boolean")
+
+
 QUERIES, SQL = REG.queries, REG.sql

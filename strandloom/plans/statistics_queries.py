@@ -91,7 +91,7 @@ def _cells(spark, folder):
     return c.join(s).select("motif_id", "a", "b", (F.col("sa") - F.col("a")).alias("c"), (F.col("sb") - F.col("b")).alias("d"))
 
 
-_FISHER = f"""{_CELLS}, t AS (SELECT motif_id, c.a, c.b, s.a - c.a AS c, s.b - c.b AS d FROM c, s), g AS (SELECT *, a + b AS m, a + c AS k, a + b + c + d AS n FROM t),
+_FISHER = f"""{_CELLS}, t AS (SELECT motif_id, c.a, c.b, CAST(s.a - c.a AS BIGINT) AS c, CAST(s.b - c.b AS BIGINT) AS d FROM c, s), g AS (SELECT *, a + b AS m, a + c AS k, a + b + c + d AS n FROM t),
 l AS (SELECT motif_id, a, i, {_LOGP} AS l FROM (SELECT *, unnest(range(greatest(0, m + k - n), least(k, m) + 1)) AS i FROM g)), h AS (SELECT motif_id, l AS seen FROM l WHERE i = a)
 SELECT l.motif_id, max(l.a) AS a, printf('%.5e', least(1.0, sum(exp(l)) FILTER (l <= seen + 1e-7))) AS p FROM l JOIN h ON l.motif_id = h.motif_id GROUP BY 1"""
 

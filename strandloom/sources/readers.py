@@ -8,6 +8,7 @@ an error; an empty file gives an empty table.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -112,9 +113,17 @@ def read_tracks(spark: SparkSession, path: str, name: str = r"([^/]+?)_([^/_]+)\
 
 
 def read_table_skipping(spark: SparkSession, path: str, skip: int = 1, separator: str = "\t") -> DataFrame:
-    """(line_no, fields) of a text table, gzipped or not, without its first ``skip`` lines. A gzipped file is one task."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("i", "line"))
-    return lines.where((F.col("i") >= skip) & (F.length(F.trim("line")) > 0)).select((F.col("i") + 1).alias("line_no"), F.split("line", separator).alias("fields"))
+    """(line_no, fields) of a text table, gzipped or not, without the first ``skip`` lines of each file and blank ones.
+
+    Files are read line by line in splits of Spark's size (a gzipped file is one split). A line's number is its
+    place in its split plus the lines of the file's splits before it: one row per split is counted.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("id"))
+    splits = lines.groupBy("file", "at").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy("file").orderBy("at").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    splits = splits.select("file", "at", "first", before.alias("before"))
+    numbered = lines.join(splits, ["file", "at"]).withColumn("line_no", F.col("before") + F.col("id") - F.col("first") + 1)
+    return numbered.where((F.col("line_no") > skip) & (F.length(F.trim("value")) > 0)).select("line_no", F.split("value", separator).alias("fields"))
 
 
 def read_decimal_comma(spark: SparkSession, path: str, numbers: list[str], separator: str = ";", missing: tuple[str, ...] = ("", "NA", "#VALUE!")) -> DataFrame:
