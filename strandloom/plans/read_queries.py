@@ -35,6 +35,18 @@ def b2_kept_reads(spark, folder):
     return rd.without_duplicates(f, "sequence_name", "start", "stop", "strand", "hit_id").select("hit_id")
 
 
+_ENRICHED = f"""WITH {HITS}, b AS (SELECT chrom AS k, s // 1000 AS b, count(*) AS n FROM hit GROUP BY 1, 2), r AS (SELECT k, sum(n) / (max(b) - min(b) + 1) AS rate FROM b GROUP BY 1),
+below AS (SELECT k, b, n, sum(exp(-rate + i * ln(rate) - lgamma(i + 1.0))) AS c FROM (SELECT b.k, b.b, b.n, r.rate, unnest(range(n, n + 400)) AS i FROM b JOIN r ON b.k = r.k) GROUP BY 1, 2, 3),
+hot AS (SELECT k, b FROM below WHERE c <= 1e-5), island AS (SELECT k, b, b - row_number() OVER (PARTITION BY k ORDER BY b) AS g FROM hot)
+SELECT k AS chrom, min(b) * 1000 AS s, max(b) * 1000 + 1000 AS e FROM island GROUP BY k, g"""
+
+
+@REG.add("b3_regions", _ENRICHED)
+def b3_regions(spark, folder):
+    """Where hits are denser than chance: the merged bins alone."""
+    return b3_enriched_regions(spark, folder).select("chrom", "s", "e")
+
+
 @REG.add("b3_enriched_regions")
 def b3_enriched_regions(spark, folder):
     """Bins of hits denser than chance, merged."""
@@ -94,13 +106,20 @@ def n14_power_by_draws(spark, folder):
     return e.groupBy(F.col("rep").cast("bigint").alias("rep")).agg(F.count_if(one).alias("a"), F.count_if(~one).alias("b"), F.count_if(one & big).alias("x"), F.count_if(~one & big).alias("y"))
 
 
-@REG.add("n14_rejections")
+_LOGC = "(lgamma({0} + 1.0) - lgamma({1} + 1.0) - lgamma({0} - {1} + 1.0))"
+_REJECT = REG.sql["n14_power_by_draws"].replace("SELECT rep, a, b, x, y FROM r", "") + f""", g AS (SELECT rep, x, a + b AS n, x + y AS k, a AS m FROM r),
+l AS (SELECT rep, x, i, {_LOGC.format('k', 'i')} + {_LOGC.format('(n - k)', '(m - i)')} - {_LOGC.format('n', 'm')} AS l FROM (SELECT *, unnest(range(greatest(0, m + k - n), least(k, m) + 1)) AS i FROM g)),
+h AS (SELECT rep, l AS seen FROM l WHERE i = x), p AS (SELECT l.rep, sum(exp(l)) FILTER (l <= seen + 1e-7) AS p FROM l JOIN h ON l.rep = h.rep GROUP BY 1)
+SELECT count(*) AS n, avg(CASE WHEN p < 0.05 THEN 1.0 ELSE 0.0 END) AS rejected, round(sqrt(avg(CASE WHEN p < 0.05 THEN 1.0 ELSE 0.0 END) * (1 - avg(CASE WHEN p < 0.05 THEN 1.0 ELSE 0.0 END)) / count(*)), 9) AS error FROM p"""
+
+
+@REG.add("n14_rejections", _REJECT)
 def n14_rejections(spark, folder):
     """The share of random splits that Fisher's test rejects, with its error: the type-I check of the power estimate."""
     t = n14_power_by_draws(spark, folder)
     p = t.withColumn("p", st.fisher(F.col("x"), F.col("a") - F.col("x"), F.col("y"), F.col("b") - F.col("y"))[3])
     share = F.avg((F.col("p") < 0.05).cast("double"))
-    return p.agg(F.count("*").alias("n"), share.alias("rejected"), F.sqrt(share * (1 - share) / F.count("*")).alias("error"))
+    return p.agg(F.count("*").alias("n"), share.alias("rejected"), F.round(F.sqrt(share * (1 - share) / F.count("*")), 9).alias("error"))
 
 
 REG.sql["b5_cross_correlation"] = _CROSS

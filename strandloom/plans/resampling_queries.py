@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from strandloom.functions import statistics as st
 from strandloom.operators import intervals as iv
 from strandloom.operators import resample as rs
+from strandloom.operators import tables as tb
 from strandloom.plans.base import HITS, PEAKS, Registry, hits, peaks
 from strandloom.session import table
 
@@ -131,14 +132,111 @@ def st20_empirical_p(spark, folder):
     )
 
 
-@REG.add("st20_null_summary")
+_SUMMARY = _NULL.replace("SELECT t.i AS rep, coalesce(n.k, 0) AS n_overlapping FROM range(1, 6) t(i) LEFT JOIN n ON n.rep = t.i", """x AS (SELECT t.i AS rep, coalesce(n.k, 0) AS k FROM range(1, 6) t(i) LEFT JOIN n ON n.rep = t.i),
+o AS (SELECT count(*) AS obs FROM peak p WHERE EXISTS (SELECT 1 FROM strong h WHERE h.chrom = p.chrom AND p.chrom_start < h.e AND h.s < p.chrom_end)),
+m AS (SELECT max(obs) AS observed, count(*) AS n_perm, avg(k) AS mean, stddev_samp(k) AS sd, quantile_cont(k, 0.95) AS q95, (count(*) FILTER (k >= obs) + 1) / (count(*) + 1) AS p FROM x, o)
+SELECT 'peaks by strong hits' AS test, observed, n_perm, round(mean, 6) AS null_mean, round(sd, 6) AS null_sd, round(q95, 6) AS null_q95, round(p, 9) AS p_empirical, round((observed - mean) / nullif(sd, 0), 6) AS z,
+ round(observed / nullif(mean, 0), 6) AS fold, round(1 / (n_perm + 1), 9) AS p_floor, round(sqrt(p * (1 - p) / n_perm), 9) AS p_error FROM m""").replace("GROUP BY 1)\nx AS", "GROUP BY 1),\nx AS")
+
+
+@REG.add("st20_null_summary", _SUMMARY)
 def st20_null_summary(spark, folder):
     """z, fold and error of the overlap null against the observed overlap."""
     p = peaks(spark, folder)
     strong = hits(spark, folder).where("hit_score >= 12 and not isnan(hit_score)").select("chrom", "s", "e").distinct()
     obs = iv.overlapping(p, strong, iv.DEFAULT, iv.Cols("chrom", "s", "e", "s")).agg(F.count("*").alias("observed_n"))  # one row
     null = n2_overlap_null(spark, folder).join(F.broadcast(obs)).withColumn("test", F.lit("peaks by strong hits"))
-    return st.null_summary(null, ["test"], "n_overlapping", "observed_n")
+    found = st.null_summary(null, ["test"], "n_overlapping", "observed_n")
+    digits = {"null_mean": 6, "null_sd": 6, "null_q95": 6, "p_empirical": 9, "z": 6, "fold": 6, "p_floor": 9, "p_error": 9}
+    return found.withColumns({c: F.round(c, d) for c, d in digits.items()})
+
+
+_INFLATION = f"""WITH {PEAKS}, f AS (SELECT name, chrom, chrom_end - chrom_start AS w, coalesce(strand, '.') AS k FROM peak), need AS (SELECT k, count(*) AS need FROM f WHERE w >= 400 GROUP BY 1), size AS (SELECT sum(need) AS size FROM need),
+a AS (SELECT i AS rep, f.*, row_number() OVER (PARTITION BY i ORDER BY {_u('i', 'name')}, name) AS r FROM f, range(1, 21) t(i)),
+b AS (SELECT i AS rep, f.*, row_number() OVER (PARTITION BY i, f.k ORDER BY {_u('i', 'name')}, name) AS r FROM f, range(1, 21) t(i)),
+n AS (SELECT 'plain' AS null_name, rep, avg(w) AS v FROM a, size WHERE r <= size GROUP BY 2 UNION ALL SELECT 'matched', rep, avg(w) FROM b JOIN need ON b.k = need.k WHERE r <= need GROUP BY 2),
+s AS (SELECT null_name, avg(v) AS m FROM n GROUP BY 1)
+SELECT null_name, round(m, 6) AS null_mean, round(m / (SELECT m FROM s WHERE null_name = 'plain'), 9) AS inflation FROM s"""
+
+
+@REG.add("st20_inflation", _INFLATION)
+def st20_inflation(spark, folder):
+    """By how much a null matched by stratum exceeds a plain one, for widths of peaks drawn like the wide ones."""
+    f = peaks(spark, folder).select("name", (F.col("chrom_end") - F.col("chrom_start")).alias("w"), F.coalesce("strand", F.lit(".")).alias("k"))
+    needs = f.where("w >= 400").groupBy("k").agg(F.count("*").alias("need"))
+    all_ = f.where("w >= 400").agg(F.count("*").alias("need")).withColumn("one", F.lit(1))  # one row
+    plain = rs.matched_resample(f.withColumn("one", F.lit(1)), "name", "one", all_, 20, SEED)
+    matched = rs.matched_resample(f, "name", "k", needs, 20, SEED)
+    means = [x.groupBy(F.lit(n).alias("null_name"), "rep").agg(F.avg("w").alias("v")) for n, x in (("plain", plain), ("matched", matched))]
+    null = means[0].unionByName(means[1]).withColumn("observed_w", F.lit(0.0))
+    found = st.inflation(st.null_summary(null, ["null_name"], "v", "observed_w"), "null_name", "plain")
+    return found.select("null_name", F.round("null_mean", 6).alias("null_mean"), F.round("inflation", 9).alias("inflation"))
+
+
+# nulls whose stratum is a feature, a universe or a length ----------------------------------------------
+
+_FEATURED = f"""WITH {HITS}, f AS (SELECT h.hit_id, h.hit_score >= 12 AND NOT isnan(h.hit_score) AS strong, h.p_value <= 0.0001 AS small,
+  CASE WHEN (h.s + h.e) // 2 - p.chrom_start < 100 THEN 'start' WHEN p.chrom_end - (h.s + h.e) // 2 < 100 THEN 'end' ELSE 'body' END AS feature FROM hit h JOIN peak p ON h.name = p.name)"""
+
+
+def _features(spark, folder):
+    """Hits with the part of their peak they lie in."""
+    p = peaks(spark, folder).select("name", "chrom_start", "chrom_end")
+    h = hits(spark, folder).join(p, "name")
+    mid = F.floor((F.col("s") + F.col("e")) / 2)
+    feature = F.when(mid - F.col("chrom_start") < 100, "start").when(F.col("chrom_end") - mid < 100, "end").otherwise("body")
+    strong = F.coalesce((F.col("hit_score") >= 12) & ~F.isnan("hit_score"), F.lit(False))
+    return h.select("hit_id", strong.alias("strong"), F.coalesce(F.col("p_value") <= 0.0001, F.lit(False)).alias("small"), feature.alias("feature"))
+
+
+@REG.add("n3_feature_matched", _FEATURED + f""", need AS (SELECT feature, count(*) AS need FROM f WHERE strong GROUP BY 1),
+d AS (SELECT i AS rep, f.*, row_number() OVER (PARTITION BY i, f.feature ORDER BY {_u('i', 'hit_id')}, hit_id) AS r FROM f, range(1, 6) t(i))
+SELECT rep, d.feature, count(*) AS n, count(*) FILTER (small) AS n_small FROM d JOIN need ON d.feature = need.feature WHERE r <= need GROUP BY 1, 2""")
+def n3_feature_matched(spark, folder):
+    """A null that keeps how many hits lie in each part of their peak."""
+    f = _features(spark, folder)
+    m = rs.matched_resample(f, "hit_id", "feature", f.where("strong").groupBy("feature").agg(F.count("*").alias("need")), 5, SEED)
+    return m.groupBy(F.col("rep").cast("bigint").alias("rep"), "feature").agg(F.count("*").alias("n"), F.count_if("small").alias("n_small"))
+
+
+@REG.add("n7_universe", _FEATURED + f""", u AS (SELECT * FROM f WHERE feature = 'start'), d AS (SELECT i AS rep, u.*, row_number() OVER (PARTITION BY i ORDER BY {_u('i', 'hit_id')}, hit_id) AS r FROM u, range(1, 6) t(i))
+SELECT rep, count(*) AS n, count(*) FILTER (strong) AS n_strong FROM d WHERE r <= 100 GROUP BY 1""")
+def n7_universe(spark, folder):
+    """Draws from a universe only: hits near the starts of peaks."""
+    m = rs.resample(_features(spark, folder).where("feature = 'start'"), "hit_id", 5, 100, SEED)
+    return m.groupBy(F.col("rep").cast("bigint").alias("rep")).agg(F.count("*").alias("n"), F.count_if("strong").alias("n_strong"))
+
+
+_TILES = ", ".join(f"{i / 20!r}" for i in range(1, 20))
+
+
+@REG.add("n8_length_matched", f"""WITH q AS (SELECT quantile_cont(p_retailprice, [{_TILES}]) AS e FROM part), f AS (SELECT p_partkey, p_size, len(list_filter(list_distinct(q.e), lambda x: x < p_retailprice)) + 1 AS bin FROM part, q WHERE p_retailprice IS NOT NULL),
+need AS (SELECT bin, count(*) AS need FROM f WHERE p_size >= 45 GROUP BY 1), d AS (SELECT i AS rep, f.*, row_number() OVER (PARTITION BY i, f.bin ORDER BY {_u('i', 'p_partkey')}, p_partkey) AS r FROM f, range(1, 6) t(i))
+SELECT rep, d.bin, count(*) AS n, round(avg(p_size), 6) AS mean_size FROM d JOIN need ON d.bin = need.bin WHERE r <= need GROUP BY 1, 2""")
+def n8_length_matched(spark, folder):
+    """A null matched on a measure in 20 quantile bins."""
+    part = table(spark, folder, "part").where("p_retailprice is not null").select("p_partkey", "p_size", "p_retailprice")
+    edges = tb.exact_quantiles(part, "p_retailprice", [i / 20 for i in range(1, 20)]).select(F.col("q").alias("e"))  # one row
+    f = part.join(F.broadcast(edges)).select("p_partkey", "p_size", tb.binned(F.col("p_retailprice"), F.col("e")).cast("bigint").alias("bin"))
+    m = rs.matched_resample(f, "p_partkey", "bin", f.where("p_size >= 45").groupBy("bin").agg(F.count("*").alias("need")), 5, SEED)
+    return m.groupBy(F.col("rep").cast("bigint").alias("rep"), "bin").agg(F.count("*").alias("n"), F.round(F.avg("p_size"), 6).alias("mean_size"))
+
+
+def _drawn_sql(width, stretches):
+    """Windows drawn over all keys, those that meet no stretch, the first 500 in drawing order."""
+    return f"""WITH {PEAKS}, {_LENGTHS}, ends AS (SELECT chrom, length, CAST(sum(length - {width} + 1) OVER (ORDER BY chrom) AS BIGINT) AS upto FROM len WHERE length >= {width}),
+d AS (SELECT i AS draw_id, CAST(floor({_u('i')} * (SELECT max(upto) FROM ends)) AS BIGINT) AS at FROM range(1, 80001) t(i)),
+w AS (SELECT draw_id, chrom, d.at - (upto - (length - {width} + 1)) AS s FROM d JOIN ends ON d.at >= upto - (length - {width} + 1) AND d.at < upto), no AS ({stretches})
+SELECT draw_id, chrom, s AS "start", s + {width} AS "end" FROM w WHERE NOT EXISTS (SELECT 1 FROM no WHERE no.chrom = w.chrom AND w.s < no.e AND no.s < w.s + {width}) ORDER BY draw_id LIMIT 500"""
+
+
+@REG.add("n11_clear_intervals", _drawn_sql(101, "SELECT chrom, unnest(range(0, length, 10000)) AS s, s + 1000 AS e FROM len"))
+def n11_clear_intervals(spark, folder):
+    """Uniform windows that hold no unknown letter, drawn until 500 are kept; unknown letters fill the first tenth of every 10,000."""
+    lengths = _lengths(peaks(spark, folder))
+    unknown = lengths.select("chrom", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("length") - 1, F.lit(10_000).cast("bigint"))).alias("s")).withColumn("e", F.col("s") + 1000)
+    clear = lambda drawn: iv.overlapping(drawn, unknown, iv.Cols("chrom", "start", "end", "draw_id"), iv.Cols("chrom", "s", "e", "s"), keep=False)
+    return rs.kept_windows(lengths, "chrom", 500, 101, SEED, clear)
 
 
 @REG.add("n13_power_curve", f"""WITH s AS (SELECT s_suppkey AS k, s_acctbal AS v, s_nationkey % 2 AS g FROM supplier), o AS (SELECT k, v, g, row_number() OVER (ORDER BY k) AS r, count(*) OVER () AS n FROM s),
@@ -176,7 +274,7 @@ def n16_shuffle_counts(spark, folder):
     return spark.range(1, 51).withColumnRenamed("id", "rep").join(n, "rep", "left").select("rep", F.coalesce("k", F.lit(0)).alias("n"))
 
 
-@REG.add("n17_random_windows")
+@REG.add("n17_random_windows", _drawn_sql(201, "SELECT chrom, chrom_start AS s, chrom_end AS e FROM peak"))
 def n17_random_windows(spark, folder):
     """The first 500 of drawn windows that overlap no peak."""
     p = peaks(spark, folder)

@@ -43,10 +43,13 @@ def s2_k1_bed(spark, folder):
     return _round_trip(spark, lambda to: wr.write_bed(p, to), lambda at: rd.read_bed(spark, at)).select("chrom", "chrom_start", "chrom_end", "name", "strand")
 
 
-@REG.add("k2_bed_rules", "SELECT 0 AS n_bad")
+@REG.add("k2_bed_rules", f"WITH {PEAKS} SELECT CAST(count(*) FILTER (chrom_end - chrom_start <= 300 OR chrom_start % 7 = 0) AS INTEGER) AS n_bad, CAST(count(*) AS INTEGER) AS n_rows FROM peak")
 def k2_bed_rules(spark, folder):
-    p = peaks(spark, folder).where("chrom_end > chrom_start")
-    return _round_trip(spark, lambda to: wr.write_bed(p, to), lambda at: wr.checked_bed(spark, at)).agg(F.count("*").cast("int").alias("n_bad"))
+    """Rows that break the rules are counted: here narrow ones are written with their ends before their starts, others with a strand no rule knows."""
+    p = peaks(spark, folder).withColumn("chrom_end", F.when(F.col("chrom_end") - F.col("chrom_start") <= 300, F.col("chrom_start") - 1).otherwise(F.col("chrom_end")))
+    p = p.withColumn("strand", F.when(F.col("chrom_start") % 7 == 0, "x").otherwise(F.coalesce("strand", F.lit("."))))
+    bad = _round_trip(spark, lambda to: wr.write_bed(p, to), lambda at: wr.checked_bed(spark, at)).agg(F.count("*").cast("int").alias("n_bad"))
+    return bad.join(p.agg(F.count("*").cast("int").alias("n_rows")))  # one row each
 
 
 @REG.add("s4_hits", "SELECT motif_id, sequence_name, \"start\", \"stop\", strand, matched_sequence FROM fimo WHERE motif_id NOT LIKE '#%' AND sequence_name IS NOT NULL AND \"start\" IS NOT NULL AND \"stop\" IS NOT NULL AND strand IS NOT NULL AND matched_sequence IS NOT NULL")
@@ -58,14 +61,16 @@ def s4_hits(spark, folder):
     return t.select("motif_id", "sequence_name", "start", "stop", "strand", "matched_sequence")
 
 
-@REG.add("s5_comparisons", "SELECT match_id AS optimal_offset, trim(query_id) AS query_id, trim(target_id) AS target_id FROM tomtom WHERE query_id IS NOT NULL AND target_id IS NOT NULL AND trim(query_id) <> '' AND trim(query_id) NOT LIKE '#%'".replace("match_id AS optimal_offset", "CAST(match_id AS INTEGER) AS optimal_offset"))
+@REG.add("s5_comparisons", "SELECT trim(query_id) AS query_id, trim(target_id) AS target_id, optimal_offset, p_value, e_value, CASE WHEN isnan(q_value) THEN NULL ELSE q_value END AS q_value, overlap, query_consensus, target_consensus, orientation FROM tomtom WHERE query_id IS NOT NULL AND target_id IS NOT NULL AND trim(query_id) <> '' AND trim(query_id) NOT LIKE '#%'")
 def s5_comparisons(spark, folder):
     """Comparison files in nested folders, found recursively."""
     t = table(spark, folder, "tomtom").where("query_id is not null and target_id is not null and trim(query_id) <> '' and not startswith(trim(query_id), '#')")
-    line = F.concat_ws("\t", F.trim("query_id"), F.trim("target_id"), F.col("match_id").cast("string"))
+    names = ["query_id", "target_id", "optimal_offset", "p_value", "e_value", "q_value", "overlap", "query_consensus", "target_consensus", "orientation"]
+    line = F.concat_ws("\t", *(F.coalesce(F.trim(F.col(n).cast("string")), F.lit("")) for n in names))
     rows = t.select(line.alias("value"), F.coalesce("orientation", F.lit("none")).alias("side"))
     out = _round_trip(spark, lambda to: rows.write.partitionBy("side").text(to), lambda at: rd.read_comparisons(spark, at))
-    return out.select("optimal_offset", "query_id", "target_id")
+    text = [F.nullif(n, F.lit("")).alias(n) for n in ("query_consensus", "target_consensus", "orientation")]
+    return out.select("query_id", "target_id", "optimal_offset", "p_value", "e_value", F.nanvl("q_value", F.lit(None).cast("double")).alias("q_value"), "overlap", *text)
 
 
 @REG.add("s6_k4_fasta", f"WITH {DNA} SELECT 'doc_' || doc_id AS seq_id, seq FROM dna WHERE length(seq) > 0")
@@ -149,8 +154,7 @@ def k10_cached_result(spark, folder):
 @REG.add("k8_read_value", "SELECT o_orderstatus AS name, min(o_totalprice) AS value FROM orders WHERE o_orderstatus = 'F' GROUP BY 1")
 def k8_read_value(spark, folder):
     o = table(spark, folder, "orders")
-    found = wr.value_of(o, "o_orderstatus", "o_totalprice", "F")
-    return first_by(o.where("o_orderstatus = 'F'").select(F.col("o_orderstatus").alias("name")), ["name"], [F.col("name")]).withColumn("value", F.lit(found))
+    return wr.value_row(o, "o_orderstatus", "o_totalprice", "F").select(F.col("o_orderstatus").alias("name"), F.col("o_totalprice").alias("value"))
 
 
 def _text_trip(spark, lines, read, **options):

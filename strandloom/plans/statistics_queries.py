@@ -144,6 +144,20 @@ def st3_sample_odds(spark, folder):
     return t.select("motif_id", F.round(st.sample_odds_ratio(a, b, c, d), 6).alias("odds"), F.round(st.log_odds(a, a + b, 0.5), 8).alias("logit"))
 
 
+_TABLES = """WITH f AS (SELECT motif_id, strand, score >= 14 AS hi FROM fimo WHERE motif_id NOT LIKE '#%' AND score IS NOT NULL AND NOT isnan(score) AND strand IN ('+', '-', '.')),
+t AS (SELECT motif_id, count(*) FILTER (strand = '+' AND hi) AS a, count(*) FILTER (strand = '-' AND hi) AS b, count(*) FILTER (strand = '.' AND hi) AS c, count(*) FILTER (strand = '+') AS r, count(*) FILTER (strand = '-') AS s, count(*) FILTER (strand = '.') AS u FROM f GROUP BY 1),
+e AS (SELECT *, a + b + c AS k, unnest(range(0, least(r, a + b + c) + 1)) AS i FROM t), g AS (SELECT *, unnest(range(greatest(0, k - i - u), least(s, k - i) + 1)) AS j FROM e),
+l AS (SELECT motif_id, i = a AND j = b AS seen, lgamma(r + 1.0) - lgamma(i + 1.0) - lgamma(r - i + 1.0) + lgamma(s + 1.0) - lgamma(j + 1.0) - lgamma(s - j + 1.0) + lgamma(u + 1.0) - lgamma(k - i - j + 1.0) - lgamma(u - (k - i - j) + 1.0)
+  - lgamma(r + s + u + 1.0) + lgamma(k + 1.0) + lgamma(r + s + u - k + 1.0) AS l FROM g), h AS (SELECT motif_id, l AS at_seen FROM l WHERE seen)
+SELECT l.motif_id, round(least(1.0, sum(exp(l)) FILTER (l <= at_seen + 1e-7)), 7) AS p_value FROM l JOIN h ON l.motif_id = h.motif_id GROUP BY 1"""
+
+
+@REG.add("st4_fisher_table_p", _TABLES)
+def st4_fisher_table_p(spark, folder):
+    """The exact p of the tables of three rows alone."""
+    return st4_fisher_table(spark, folder).select("motif_id", F.round("p_value", 7).alias("p_value"))
+
+
 @REG.add("st4_fisher_table")
 def st4_fisher_table(spark, folder):
     """Exact test of strand by strength per motif, for tables of three rows and two columns."""
@@ -284,6 +298,30 @@ def st11_simple_line(spark, folder):
     return table(spark, folder, "lineitem").groupBy("l_returnflag").agg(F.count("*").alias("n"), F.round(F.regr_slope(y, x), 5).alias("slope"), F.round(F.regr_intercept(y, x), 3).alias("intercept"), F.round(F.regr_r2(y, x), 8).alias("r2"))
 
 
+def _uphill(spark, folder, model, link, y):
+    """How far the sums that a fit makes zero are from zero, relative to what they are made of: terms where they are not."""
+    line = table(spark, folder, "lineitem").where("l_quantity is not null and l_discount is not null and l_tax is not null and l_extendedprice is not null and l_returnflag is not null")
+    b = {r["term"]: r["estimate"] for r in model.collect()}
+    cols = {"(intercept)": F.lit(1.0), "quantity": F.col("l_quantity"), "discount": F.col("l_discount"), "tax": F.col("l_tax")}
+    eta = sum((F.lit(v) * cols[t] for t, v in b.items()), F.lit(0.0))
+    gap = y - link(eta)
+    sums = line.agg(*(F.abs(F.sum(cols[t] * gap) / F.sum(F.abs(cols[t] * y))).alias(str(i)) for i, t in enumerate(b)))
+    bad = sum(((F.col(str(i)) > 1e-7).cast("int") for i in range(len(b))), F.lit(0))
+    return sums.select(F.lit(len(b)).alias("n_terms"), bad.alias("n_bad"))
+
+
+@REG.add("st11_fits", "SELECT 4 AS n_terms, 0 AS n_bad")
+def st11_fits(spark, folder):
+    """Residuals of the linear model are at right angles to every predictor."""
+    return _uphill(spark, folder, st11_linear_model(spark, folder), lambda eta: eta, F.col("l_extendedprice"))
+
+
+@REG.add("st12_fits", "SELECT 3 AS n_terms, 0 AS n_bad")
+def st12_fits(spark, folder):
+    """The logistic model's likelihood has no slope left in any term."""
+    return _uphill(spark, folder, st12_logistic(spark, folder), lambda eta: 1 / (1 + F.exp(-eta)), (F.col("l_returnflag") == "R").cast("double"))
+
+
 @REG.add("st11_linear_model")
 def st11_linear_model(spark, folder):
     """Price by quantity, discount and tax: errors, robust errors, inflation factors; the nested F test of the last two."""
@@ -358,7 +396,14 @@ def st18_annulus(spark, folder):
     return d.agg(F.count("*").alias("n"), core.alias("core"), ring.alias("ring"), F.round((core / 51.0) / F.nullif(ring / 100.0, F.lit(0.0)), 8).alias("odds"))
 
 
-@REG.add("st19_detectable")
+_DETECT = f"""{_CELLS.replace('WITH ', 'WITH RECURSIVE ')}, t AS (SELECT motif_id, c.a AS a, c.b AS b, s.a - c.a AS c, s.b - c.b AS d FROM c, s), r AS (SELECT motif_id, c / (c + d) AS p, CAST(c + d AS DOUBLE) AS n1, CAST(a + b AS DOUBLE) AS n2 FROM t WHERE a + b > 1 AND c + d > 1 AND c > 0 AND d > 0),
+step AS (SELECT motif_id, p, n1, n2, p AS lo, CAST(1 AS DOUBLE) AS hi, 0 AS k FROM r UNION ALL SELECT motif_id, p, n1, n2, CASE WHEN short THEN mid ELSE lo END, CASE WHEN short THEN hi ELSE mid END, k + 1 FROM (
+  SELECT *, (lo + hi) / 2 AS mid, (lo + hi) / 2 - p < 1.959963984540054 * sqrt((n1 * p + n2 * (lo + hi) / 2) / (n1 + n2) * (1 - (n1 * p + n2 * (lo + hi) / 2) / (n1 + n2)) * (1 / n1 + 1 / n2))
+    + 0.8416212335729143 * sqrt(p * (1 - p) / n1 + (lo + hi) / 2 * (1 - (lo + hi) / 2) / n2) AS short FROM step WHERE k < 60))
+SELECT motif_id, round(p, 9) AS share, round((lo + hi) / 2, 6) AS detectable_share, round(0.5 + 2.8015852181129683 / sqrt(12 * n1 / (n1 + n2) * (1 - n1 / (n1 + n2)) * (n1 + n2)), 6) AS detectable_auc FROM step WHERE k = 60"""
+
+
+@REG.add("st19_detectable", _DETECT)
 def st19_detectable(spark, folder):
     """What differences each motif's number of hits would show."""
     t = _cells(spark, folder).where("a + b > 1 and c + d > 1 and c > 0 and d > 0")

@@ -52,6 +52,16 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(*frames: DataFrame) -> None:
+    """Delete the stored rows of materialized frames that nothing will read again."""
+    for df in frames:
+        found = df._jdf.queryExecution().analyzed()
+        if found.nodeName() == "LogicalRDD":
+            file = found.rdd().getCheckpointFile()
+            if file.isDefined():
+                remove_folder(df.sparkSession, file.get())
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One Parquet table of a data folder."""
     return spark.read.parquet(f"{folder}/{name}.parquet")

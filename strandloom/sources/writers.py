@@ -72,6 +72,11 @@ def upsert(store: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     return store.join(fresh, same, "left_anti").unionByName(fresh)
 
 
+def value_row(store: DataFrame, key: str, value: str, name: str) -> DataFrame:
+    """(key, value) stored under a name, as a row: the smallest value if it is there repeatedly, no row if it isn't."""
+    return store.where(F.col(key) == name).groupBy(key).agg(F.min(value).alias(value))
+
+
 def value_of(store: DataFrame, key: str, value: str, name: str):
     """The value stored under a name: the smallest if it is there repeatedly, None if it isn't."""
     row = store.where(F.col(key) == name).agg(F.min(value)).first()
