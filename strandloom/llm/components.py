@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from strandloom.operators.ordered import rank_within
 from strandloom.operators.skew import join_unique
-from strandloom.session import materialize
+from strandloom.session import materialize, release
 
 #: Links, each counted both ways, that one task takes: 16 bytes each. A larger graph is pruned by shuffles.
 LOCAL = 200_000
@@ -115,14 +115,17 @@ def connected_groups(
         own = materialize(proposed.groupBy("w").agg(F.min("m").alias("own"), F.bool_or(F.col("m") == F.col("w")).alias("stays"), F.count("*").alias("d")))
         hung.append(own.where("not stays").select("w", F.col("own").alias("above")))
         linked = join_unique(proposed, own.select("w", "own", "d"), "w", "d", proposed.count()).where("m <> own")
-        graph = materialize(_both_ways(linked.select(F.col("own").alias("u"), F.col("m").alias("v"))))
+        before, graph = graph, materialize(_both_ways(linked.select(F.col("own").alias("u"), F.col("m").alias("v"))))
+        release(before, minima, proposed)  # the shared folder holds one graph, and a row a vertex of each round
         left_out = own.where("stays").select("w").join(graph.select(F.col("u").alias("w")).distinct(), "w", "left_anti")
-        seeds.append(left_out.select("w", F.col("w").alias("g")))
+        seeds.append(materialize(left_out.select("w", F.col("w").alias("g"))))
     # a vertex below can only hang below one that was still there in its round, whose label is known by then
     labelled = [materialize(reduce(DataFrame.unionByName, [_prune_in_one_task(graph), *seeds]))]
+    release(graph)
     for layer in reversed(hung):
         known = reduce(DataFrame.unionByName, labelled).select(F.col("w").alias("above"), "g")
         labelled.append(materialize(layer.join(known, "above").select("w", "g")))
     members = materialize(reduce(DataFrame.unionByName, labelled).join(names, F.col("w") == F.col("n")).select("x", "g"))
+    release(rows, *labelled)
     least = materialize(members.groupBy("g").agg(F.min("x").alias("m"), F.count("*").alias("d")))
     return join_unique(members, least, "g", "d", members.count()).select(F.col("x").alias(vertex), F.col("m").alias(group))

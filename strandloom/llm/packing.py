@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections import defaultdict
 
 import numpy as np
@@ -13,6 +14,14 @@ from pyspark.sql import types as T
 from strandloom.operators.ordered import rank_within
 from strandloom.session import materialize
 
+log = logging.getLogger(__name__)
+
+#: Slots of all kinds (32 bytes each) that are broadcast; more of them meet the items by a join on kind, length and stretch of ranks.
+SLOTS = 1 << 18
+
+#: Ranks of a stretch in that join.
+STRETCH = 1 << 16
+
 
 def shortest_pack_first(histogram: dict[int, int], capacity: int) -> list[tuple[int, list[int]]]:
     """Packing patterns (number of containers, lengths in each) that use up the histogram.
@@ -99,7 +108,26 @@ def pieces(items: DataFrame, item: str, size: str, containers: DataFrame, kind:
     return rows.select("_kind", "_cap", "_item", "_piece", F.least(F.col("_cap"), F.col("_n") - (F.col("_piece") - 1) * F.col("_cap")).cast("int").alias("_size"), "_pieces")
 
 
-def fill_containers(items: DataFrame, item: str, size: str, containers: DataFrame, kind: str, capacity: str) -> DataFrame:
+def _placed_by_join(ranked: DataFrame, slots: dict[str, dict[int, tuple[np.ndarray, ...]]], most: dict[str, dict[int, int]]) -> DataFrame:
+    """Items with their slots, where there are too many slots to broadcast: a slot covers ranks up to the next one's, in every stretch they touch."""
+    spark = ranked.sparkSession
+    parts = []
+    for kind, sizes in slots.items():
+        for size, (first, container, place, before) in sizes.items():
+            n = len(first)
+            last = np.append(first[1:], most[kind][size])
+            parts.append(pa.table({"_kind": pa.array([kind] * n), "_size": pa.array(np.full(n, size, np.int32)), "f": first, "l": last, "c": container, "p": place.astype(np.int32), "o": before.astype(np.int32)}))
+    table = spark.createDataFrame(pa.concat_tables(parts))
+    spread = table.withColumn("s", F.explode(F.sequence(F.floor(F.col("f") / STRETCH), F.floor((F.col("l") - 1) / STRETCH))))
+    at = F.col("_rank") - 1
+    rows = ranked.withColumn("s", F.floor(at / STRETCH)).alias("i").join(spread.alias("t"), ["_kind", "_size", "s"]).where((at >= F.col("f")) & (at < F.col("l")))
+    return rows.select(
+        F.col("_kind").alias("kind"), (F.col("c") + at - F.col("f")).alias("container_id"), F.col("p").alias("place"), F.col("o").alias("offset"),
+        F.col("_item").alias("item"), F.col("_piece").alias("piece_no"), F.col("_pieces").alias("n_pieces"), F.col("_size").alias("n_tokens"),
+    )
+
+
+def fill_containers(items: DataFrame, item: str, size: str, containers: DataFrame, kind: str, capacity: str, most_slots: int = SLOTS) -> DataFrame:
     """(kind, container_id, place, offset, item, piece_no, n_pieces, n_tokens) for each item and each kind.
 
     Items with a null or non-positive size take no room and come in no container; an item
@@ -108,7 +136,8 @@ def fill_containers(items: DataFrame, item: str, size: str, containers: DataFram
     columns are ignored; an empty table gives an empty result.
 
     The driver sees the histogram only: at most ``capacity`` rows a kind. Ranks within a
-    length, which may be that of a third of all items, come from a range-sorted scan.
+    length, which may be that of a third of all items, come from a range-sorted scan. Slots
+    are broadcast if there are at most ``most_slots`` of them, and joined otherwise.
     """
     spark = items.sparkSession
     cut = pieces(items, item, size, containers, kind, capacity)
@@ -117,21 +146,27 @@ def fill_containers(items: DataFrame, item: str, size: str, containers: DataFram
     for r in cut.groupBy("_kind", "_cap", "_size").count().collect():
         plans[r["_kind"]][r["_size"]] = r["count"]
         capacities[r["_kind"]] = r["_cap"]
-    sent = spark.sparkContext.broadcast({k: _slots(shortest_pack_first(h, capacities[k])) for k, h in plans.items()})
+    slots = {k: _slots(shortest_pack_first(h, capacities[k])) for k, h in plans.items()}
+    n_slots = sum(len(x[0]) for sizes in slots.values() for x in sizes.values())
+    log.info("%d slots of %d kinds, %s", n_slots, len(slots), "broadcast" if n_slots <= most_slots else "joined")
+    if n_slots > most_slots:
+        return _placed_by_join(ranked, slots, plans).withColumnsRenamed({"kind": kind, "item": item})
+    sent = spark.sparkContext.broadcast(slots)
     out = T.StructType.fromDDL("kind string, container_id bigint, place int, `offset` int, piece_no int, n_pieces int, n_tokens int")
     out = T.StructType([out[0], out[1], out[2], out[3], T.StructField("item", ranked.schema["_item"].dataType), *out.fields[4:]])
 
     def place(batches):
         for b in batches:
-            kinds = b.column("_kind").to_pylist()
+            kinds = b.column("_kind").dictionary_encode()
+            names, coded = kinds.dictionary.to_pylist(), kinds.indices.to_numpy(zero_copy_only=False)
             sizes = b.column("_size").to_numpy()
             ranks = b.column("_rank").to_numpy() - 1
             ids, places, offsets = (np.zeros(len(sizes), dtype=np.int64) for _ in range(3))
-            edges = [0, *(i for i in range(1, len(sizes)) if sizes[i] != sizes[i - 1] or kinds[i] != kinds[i - 1]), len(sizes)]
+            edges = [0, *(np.flatnonzero((np.diff(sizes) != 0) | (np.diff(coded) != 0)) + 1).tolist(), len(sizes)]
             for lo, hi in zip(edges[:-1], edges[1:], strict=True):
                 if lo == hi:
                     continue
-                starts, first, at, before = sent.value[kinds[lo]][int(sizes[lo])]
+                starts, first, at, before = sent.value[names[coded[lo]]][int(sizes[lo])]
                 k = np.searchsorted(starts, ranks[lo:hi], side="right") - 1
                 ids[lo:hi] = first[k] + ranks[lo:hi] - starts[k]
                 places[lo:hi] = at[k]

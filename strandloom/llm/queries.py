@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandloom.llm.components import connected_groups
@@ -11,7 +12,7 @@ from strandloom.llm.packing import fill_containers, fill_report
 from strandloom.llm.similar_sets import set_classes, similar_classes, similar_pairs
 from strandloom.llm.tokens import with_token_counts
 from strandloom.llm.top_items import top_items
-from strandloom.llm.truncation import truncated, truncation_rates
+from strandloom.llm.truncation import strict_prefixes, truncated, truncation_rates
 from strandloom.operators.packed import split_packed
 from strandloom.plans.packed_and_intervals import _GENES
 from strandloom.session import materialize, table
@@ -109,9 +110,44 @@ def p8_sources(spark: SparkSession, folder: str) -> DataFrame:
     return truncation_rates(table(spark, folder, "documents"), "doc_id", "text", "source")
 
 
+def p6_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """What a packing must keep, per kind: items, and how many of its rules are broken: items twice or in part, containers too full, gaps or overlaps inside, slack."""
+    rows = materialize(p6_pack(spark, folder))
+    caps = table(spark, folder, "pack_capacity").groupBy("container_kind").agg(F.max("capacity_tokens").alias("cap"))
+    items = rows.groupBy("container_kind", "doc_id").agg(F.count("*").alias("n"), F.max("n_pieces").alias("want"), F.count_distinct("piece_no").alias("pieces"))
+    whole = items.groupBy("container_kind").agg(F.count("*").alias("n_docs"), F.count_if((F.col("n") != F.col("want")) | (F.col("pieces") != F.col("want"))).alias("n_broken"))
+    boxes = rows.groupBy("container_kind", "container_id").agg(F.sum("n_tokens").alias("used"), F.max(F.col("offset") + F.col("n_tokens")).alias("end"), F.count("*").alias("n"), (F.max("place") + 1).alias("places"))
+    boxes = boxes.join(F.broadcast(caps), "container_kind")  # a row a kind
+    full = boxes.groupBy("container_kind").agg(
+        F.count_if(F.col("used") > F.col("cap")).alias("n_overfull"), F.count_if((F.col("end") != F.col("used")) | (F.col("n") != F.col("places"))).alias("n_gaps"),
+        (F.sum("used") / F.sum("cap") < 0.95).alias("slack"), F.count("*").alias("n_boxes"),
+    )
+    # a handful of containers may be half empty whatever the method
+    return whole.join(full, "container_kind").select("container_kind", "n_docs", "n_broken", "n_overfull", "n_gaps", (F.col("slack") & (F.col("n_boxes") > 200)).alias("wastes"))
+
+
+def p7_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """What a mix must keep, per source with a target: its documents, and whether copies exceed the cap or steps of the rate, and shares miss the aimed ones."""
+    report = p7_shares(spark, folder)
+    off = F.abs(F.coalesce("actual_share", F.lit(0.0)) - F.coalesce("aimed_share", F.lit(0.0))) * F.sum("mixed_tokens").over(W.partitionBy()) > 50_000
+    found = report.where("target_share is not null")  # a row a row of the targets
+    return found.select("source", "target_share", "n_items", (F.col("most_repeats") > F.col("max_repeats")).alias("over_cap"), off.alias("misses"))
+
+
+def p8_prefixes(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that are strict prefixes of longer ones, whatever stands behind the cut."""
+    return strict_prefixes(table(spark, folder, "documents"), "doc_id", "text").select("doc_id")
+
+
+def p8_counted(spark: SparkSession, folder: str) -> DataFrame:
+    """The texts that the share of cut ones in each source is taken of."""
+    return p8_sources(spark, folder).select("source", "n_texts")
+
+
 QUERIES = {
     "p1_found": p1_found, "p1_classes": p1_classes, "p3_found": p3_found, "p3_sizes": p3_sizes, "p4_found": p4_found,
     "p6_pack": p6_pack, "p6_fill": p6_fill, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_sources": p8_sources,
+    "p6_checks": p6_checks, "p7_checks": p7_checks, "p8_prefixes": p8_prefixes, "p8_counted": p8_counted,
 }
 
 _SETS = (
@@ -142,7 +178,18 @@ WITH RECURSIVE link AS (
 )
 """
 
+#: What may stand behind a cut, for an engine without look-arounds, taken off as often as it can stand there.
+_CUT = "regexp_replace(regexp_replace({0}, '(\\w)[-\\x{{2013}}\\x{{2014}}]+$', '\\1'), '([\\s\\x{{00a0}}\\x{{0085}}\\x{{2028}}\\x{{2029}}\\x{{200b}}\\x{{feff}}\\x{{2026}}\\x{{fffd}}]|\\.\\.+|\\[(\\x{{2026}}|\\.\\.\\.)\\]|\\((\\x{{2026}}|\\.\\.\\.)\\)|</?[A-Za-z][^<>]{{0,80}}>)+$', '')"
+_CORE = _CUT.format(_CUT.format(_CUT.format(_CUT.format("text"))))
+
 SQL = {
+    "p6_checks": """SELECT container_kind, count(*) AS n_docs, 0 AS n_broken, 0 AS n_overfull, 0 AS n_gaps, false AS wastes FROM documents, (SELECT DISTINCT container_kind FROM pack_capacity WHERE capacity_tokens > 0)
+WHERE text IS NOT NULL AND text <> '' GROUP BY 1""",
+    "p7_checks": """SELECT t.source, t.target_share, count(d.doc_id) AS n_items, false AS over_cap, false AS misses FROM (SELECT source, max(target_share) AS target_share FROM mix_target WHERE source IS NOT NULL GROUP BY 1) t
+LEFT JOIN documents d ON d.source = t.source GROUP BY 1, 2""",
+    "p8_prefixes": f"""WITH c AS (SELECT doc_id, {_CORE} AS core FROM documents WHERE text IS NOT NULL), one AS (SELECT DISTINCT core FROM c WHERE core <> '')
+SELECT doc_id FROM c WHERE core IN (SELECT a.core FROM one a JOIN one b ON length(b.core) > length(a.core) AND starts_with(b.core, a.core))""",
+    "p8_counted": "SELECT source, count(*) AS n_texts FROM documents WHERE text IS NOT NULL AND trim(text) <> '' GROUP BY 1",
     "p1_found": _SETS + "SELECT a AS geneset_id_a, b AS geneset_id_b FROM close_pair",
     "p1_classes": _SETS
     + """SELECT s.geneset_id, s.n AS n_genes, count(l.a) AS n_links FROM sized s

@@ -72,3 +72,19 @@ def test_empty(spark):
     assert fill_containers(df, "doc", "n", kinds, "kind", "cap").collect() == []
     one = spark.createDataFrame([(1, 5)], "doc bigint, n int")
     assert fill_containers(one, "doc", "n", kinds.limit(0), "kind", "cap").collect() == []
+
+
+def test_joined_slots_are_the_broadcast_ones(spark):
+    """Where slots are too many to broadcast, a join by stretches of ranks gives the same places."""
+    from strandloom.llm import packing
+
+    items = spark.range(4000).selectExpr("id as i", "cast(id * id % 97 + 1 as int) as n")
+    kinds = spark.createDataFrame([("a", 64), ("b", 250)], "k string, cap int")
+    old, packing.STRETCH = packing.STRETCH, 16
+    try:
+        one = packing.fill_containers(items, "i", "n", kinds, "k", "cap")
+        other = packing.fill_containers(items, "i", "n", kinds, "k", "cap", most_slots=0)
+        assert one.dtypes == other.dtypes
+        assert sorted(map(tuple, one.collect())) == sorted(map(tuple, other.collect()))
+    finally:
+        packing.STRETCH = old
