@@ -205,14 +205,14 @@ c AS (SELECT motif_id, count(*) AS n, count(*) FILTER (p BETWEEN 76 AND 125) AS
 
 
 @REG.add("q18_central_enrichment", f"""WITH {_SITES}, t AS (SELECT *, unnest(range(x, n + 1)) AS i FROM c)
-SELECT motif_id, n, x, printf('%.5e', least(1.0, sum(exp(lgamma(n + 1.0) - lgamma(i + 1.0) - lgamma(n - i + 1.0) + i * ln(0.25) + (n - i) * ln(0.75))))) AS p FROM t GROUP BY 1, 2, 3""")
+SELECT motif_id, n, x, round(least(1.0, sum(exp(lgamma(n + 1.0) - lgamma(i + 1.0) - lgamma(n - i + 1.0) + i * ln(0.25) + (n - i) * ln(0.75)))) + 1e-12, 9) AS p FROM t GROUP BY 1, 2, 3""")
 def q18_central_enrichment(spark, folder):
     """Whether best sites in the first 200 positions lie in the middle quarter more often than a quarter of the time: upper binomial tails."""
     f = table(spark, folder, "fimo").where("score is not null and not isnan(score) and sequence_name is not null and motif_id is not null and start between 1 and 200")
     best = f.groupBy("sequence_name", "motif_id").agg(F.max_by("start", F.struct("score", -F.col("hit_id"))).alias("at"))
     c = best.groupBy("motif_id").agg(F.count("*").alias("n"), F.count_if(F.col("at").between(76, 125)).alias("x"))
     p = st.per_row(lambda x, n: sp.binomial_tail(int(x), int(n), 0.25), "double", F.col("x"), F.col("n"))
-    return c.select("motif_id", "n", "x", F.format_string("%.5e", p).alias("p"))
+    return c.select("motif_id", "n", "x", F.round(p + 1e-12, 9).alias("p"))  # a quarter's powers end in fives: none is left to rounding
 
 
 @REG.add("q19_shuffle_keeps", "SELECT 2 * count(*) AS n, 0 AS n_letters_lost, 0 AS n_neighbours_lost, 0 AS n_ends_moved FROM fimo WHERE matched_sequence IS NOT NULL")
