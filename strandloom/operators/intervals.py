@@ -4,7 +4,7 @@ A range condition alone gives Spark one equi key, the chromosome, and so as many
 tasks as there are chromosomes. Here every interval gets the one bin, of a hierarchy of
 widths, that holds it. Where two intervals overlap, one's bin holds the other's, so the
 join is an equi join of own bins with the bins above them, either way round, with the range as
-residue. Pairs come once; an interval of any length costs at most one row a level. Counts and
+residue. Pairs come once; an interval of any length costs at most one row a level, of five. Counts and
 existence need no pairs: they come from a scan over starts and ends.
 """
 
@@ -20,8 +20,8 @@ from strandloom.operators.islands import blocks_and_gaps
 from strandloom.operators.ordered import prefix_sum_within
 
 #: Bins grow by this factor from level to level.
-_STEP = 8
-_LEVELS = 8
+_STEP = 64
+_LEVELS = 4
 
 #: Bins of a stretch in the search for nearest intervals.
 _FAR = 4096
@@ -81,16 +81,14 @@ def overlap_pairs(
     s, e = F.col(f"a_{ca.start}") - reach, F.col(f"a_{ca.end}") + reach
     t, f = F.col(f"b_{cb.start}"), F.col(f"b_{cb.end}")
     left, right = left.withColumn("_o", _own_bin(s, e, width)), right.withColumn("_p", _own_bin(t, f, width))
-    # levels in use, at most nine a side: bins of other levels are not made
-    used_a = left.agg(F.collect_set("_o.level").alias("l")).scalar()
-    used_b = right.agg(F.collect_set("_p.level").alias("l")).scalar()
-    up = F.transform(F.filter(_bins_above(s, F.col("_o"), width), lambda x: F.array_contains(F.col("_u"), x["level"])), lambda x: F.struct(x["level"].alias("level"), x["bin"].alias("bin"), F.lit(0).alias("way")))
-    own_a = F.array(F.struct(F.col("_o.level").alias("level"), F.col("_o.bin").alias("bin"), F.lit(1).alias("way")))
-    left = left.withColumn("_u", used_b).withColumn("_b", F.explode(F.concat(up, own_a))).drop("_u", "_o")
-    over = F.filter(_bins_above(t, F.col("_p"), width), lambda x: (x["level"] > F.col("_p.level")) & F.array_contains(F.col("_u"), x["level"]))
-    over = F.transform(over, lambda x: F.struct(x["level"].alias("level"), x["bin"].alias("bin"), F.lit(1).alias("way")))
-    own_b = F.array(F.struct(F.col("_p.level").alias("level"), F.col("_p.bin").alias("bin"), F.lit(0).alias("way")))
-    right = right.withColumn("_u", used_a).withColumn("_o", F.explode(F.concat(own_b, over))).drop("_u", "_p")
+    # way 0: the right one's own bin is the left one's or holds it; way 1: the left one's own bin holds the right one's
+    def way(bins: Column, k: int) -> Column:
+        return F.transform(bins, lambda x: F.struct(x["level"].alias("level"), x["bin"].alias("bin"), F.lit(k).alias("way")))
+
+    own_a, own_b = F.array(F.struct("_o.level", "_o.bin")), F.array(F.struct("_p.level", "_p.bin"))
+    over = F.filter(_bins_above(t, F.col("_p"), width), lambda x: x["level"] > F.col("_p.level"))
+    left = left.withColumn("_b", F.explode(F.concat(way(_bins_above(s, F.col("_o"), width), 0), way(own_a, 1)))).drop("_o")
+    right = right.withColumn("_o", F.explode(F.concat(way(own_b, 0), way(over, 1)))).drop("_p")
     meet = F.col(f"a_{ca.key}") == F.col(f"b_{cb.key}")
     for x in ("level", "bin", "way"):
         meet = meet & (F.col(f"_b.{x}") == F.col(f"_o.{x}"))
