@@ -1,9 +1,12 @@
+import time
+
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from pyspark.sql import functions as F
 from strandloom.operators import intervals as iv
+from strandloom.plans import interval_queries as iq
 
 FEW = settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 interval = st.tuples(st.sampled_from(["x", "y", None]), st.integers(0, 300), st.integers(0, 120) | st.none())
@@ -117,3 +120,30 @@ def test_empty_tables(spark):
     assert iv.overlap_pairs(none, one).count() == 0 and iv.overlap_pairs(one, none).count() == 0
     assert iv.nearest(one, none).first()["distance"] is None and iv.nearest(none, one).count() == 0
     assert iv.merged(none).count() == 0 and iv.intersections(one, none).count() == 0
+
+
+@FEW
+@given(st.lists(st.tuples(st.sampled_from("xy"), st.integers(-200, 300), st.sampled_from([0, 1, 7, 64, 65, 200, 1024, 1025, 5_000_000])), max_size=25), st.lists(st.tuples(st.sampled_from("xy"), st.integers(-200, 300), st.sampled_from([0, 3, 64, 900, 70_000])), max_size=25))
+def test_pairs_by_grids_match_a_loop(spark, rows, a, b):
+    left, right = (table(spark, t, n).selectExpr("name as hit_id", "chrom", "chrom_start as s", "chrom_end as e") for t, n in ((a, "a"), (b, "b")))
+    assert rows(iq._grid_pairs(left, right), "x", "y") == pairs(a, b)
+
+
+def test_pairs_that_one_way_finds_are_counted(spark):
+    hits = spark.createDataFrame([(i,) for i in range(6)], "hit_id bigint")
+    one = lambda a, _: a.selectExpr("hit_id as x", "explode(sequence(hit_id, hit_id + 2)) as y")
+    other = lambda a, _: one(a, _).where("not (x = 1 and y = 2)").unionByName(a.where("hit_id = 3").selectExpr("hit_id as x", "explode(array(3, 9, 9)) as y"))
+    assert tuple(iq._compared(hits, hits, one, one).first()) == (0, 0)
+    # (3, 3) comes twice and (3, 9) only by the second way, (1, 2) only by the first
+    assert tuple(iq._compared(hits, hits, one, other).first()) == (1, 2)
+    assert tuple(iq._compared(hits, hits, one, lambda a, _: one(a, _).where("false")).first()) == (18, 0)
+
+
+def test_two_ways_on_one_chromosome(spark, tmp_path):
+    """Comparing each hit with all of its chromosome took 6.4 billion comparisons here."""
+    spark.range(800).selectExpr("'c' as chrom", "id * 5000 as chrom_start", "id * 5000 + 4000 as chrom_end", "concat('p', id) as name", "0 as score", "'+' as strand").write.parquet(f"{tmp_path}/joint_peaks.parquet")
+    hit = ["id as hit_id", "'m' as motif_id", "concat('p', id % 800) as sequence_name", "cast(id div 800 * 19 + 1 as int) as start", "cast(id div 800 * 19 + 12 as int) as stop", "if(id div 800 % 2 = 0, '+', '-') as strand", "1D as score", "1D as p_value"]
+    spark.range(160_000).selectExpr(*hit).unionByName(spark.range(160_000, 160_800).selectExpr(*hit[:3], "3 as start", "30 as stop", "'-' as strand", *hit[6:])).write.parquet(f"{tmp_path}/fimo.parquet")
+    began = time.monotonic()
+    assert tuple(iq.j14_two_ways(spark, str(tmp_path)).first()) == (0, 0)
+    assert time.monotonic() - began < 45
