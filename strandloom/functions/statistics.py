@@ -8,6 +8,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,6 +34,27 @@ def hypergeometric(x: Column, n: Column, k: Column, m: Column, upper: bool = Tru
     return per_row(lambda a, b, c, d: sp.hypergeometric_tail(int(a), int(b), int(c), int(d), upper), "double", x, n, k, m)
 
 
+def hypergeometric_logs(df: DataFrame, seen: str) -> DataFrame:
+    """Rows with ``n``, ``k``, ``m``, once for each possible overlap ``i``, and in ``l`` the logarithm of its probability over that of the overlap ``seen``.
+
+    A row's logarithms are computed once and sent in batches of up to 65,536.
+    """
+    schema = T.StructType([*df.schema.fields, T.StructField("i", T.LongType()), T.StructField("l", T.DoubleType())])
+    names = df.columns
+
+    def run(batches):
+        for b in batches:
+            for at, row in enumerate(b.select(["n", "k", "m", seen]).to_pylist()):
+                x, logs = sp.log_hypergeometric(row["n"], row["k"], row["m"])
+                logs = logs - logs[row[seen] - x[0]]
+                for first in range(0, len(x), 1 << 16):
+                    part = slice(first, first + (1 << 16))
+                    same = b.take(pa.array(np.full(len(x[part]), at)))
+                    yield pa.RecordBatch.from_arrays([*same.columns, pa.array(x[part], pa.int64()), pa.array(logs[part])], names=[*names, "i", "l"])
+
+    return df.mapInArrow(run, schema)
+
+
 def fisher(a: Column, b: Column, c: Column, d: Column) -> Column:
     """Array (odds ratio, lower, upper, p) of each 2 x 2 table."""
     return per_row(lambda *t: [float(v) for v in sp.fisher_2x2(*map(int, t))], "array<double>", a, b, c, d)

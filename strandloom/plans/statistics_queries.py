@@ -111,13 +111,9 @@ _FISHER_FITS = "SELECT 0 AS n_bad_ratio, 0 AS n_bad_lower, 0 AS n_bad_upper"
 def st3_fisher_fits(spark, folder):
     """Motifs whose odds ratio doesn't make the seen count the expected one, or whose interval doesn't end where a tail has 2.5 %: none."""
     t = st3_fisher(spark, folder).where("odds_ratio > 0 and upper < double('inf') and lower > 0")
-    n, k, m = F.expr("a + b + c + d"), F.expr("a + c"), F.expr("a + b")
-    i = F.sequence(F.greatest(F.lit(0), m + k - n), F.least(k, m))
-    rows = t.select("motif_id", "a", "odds_ratio", "lower", "upper", n.alias("n"), k.alias("k"), m.alias("m"), F.explode(i).alias("i"))
-    logs = st.per_row(lambda n, k, m, i: float(sp.log_hypergeometric(int(n), int(k), int(m))[1][int(i) - max(0, int(m + k - n))]), "double", *(F.col(c) for c in "nkmi"))
-    rows = rows.withColumn("l", logs)
+    rows = st.hypergeometric_logs(t.selectExpr("motif_id", "a", "odds_ratio", "lower", "upper", "a + b + c + d as n", "a + c as k", "a + b as m"), "a")
 
-    def share(ratio, what):
+    def share(ratio, what):  # weights are 1 at the seen count, whose own probability may be too small for a double
         w = F.exp(F.col("l") + (F.col("i") - F.col("a")) * F.ln(ratio))
         return F.sum(w * what) / F.sum(w)
 
@@ -126,7 +122,7 @@ def st3_fisher_fits(spark, folder):
         F.max("a").alias("a"), share(F.col("odds_ratio"), F.col("i")).alias("mean"),
         share(F.col("lower"), (F.col("i") >= seen).cast("double")).alias("above"), share(F.col("upper"), (F.col("i") <= seen).cast("double")).alias("below"),
     )
-    bad = lambda c, want: F.count_if(F.abs(F.col(c) - want) > 1e-6)
+    bad = lambda c, want: F.count_if(F.coalesce(F.abs(F.col(c) - want) > 1e-6, F.lit(True)))
     return g.agg(bad("mean", F.col("a")).cast("int").alias("n_bad_ratio"), bad("above", 0.025).cast("int").alias("n_bad_lower"), bad("below", 0.025).cast("int").alias("n_bad_upper"))
 
 

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from strandloom.functions import special as sp
 from strandloom.functions import statistics as st
+from strandloom.plans import statistics_queries as sq
 
 
 def test_hypergeometric_goldens():
@@ -179,3 +180,39 @@ def test_moderated_t_and_detectable(spark):
     assert st.moderated_t(df.limit(0), "m", "v", "d", "n").collect() == []
     assert st.detectable_difference(0.2, 100, 100) == pytest.approx(0.38, abs=0.02)
     assert st.detectable_auc(50, 50) == pytest.approx(0.5 + (1.959964 + 0.841621) / math.sqrt(12 * 0.25 * 100), abs=1e-5)
+
+
+def test_fisher_fits_of_large_counts(spark, monkeypatch):
+    """Each of some 80,000 possible counts took all logarithms of its table; seen counts of probability under 1e-300 were not checked at all."""
+    tables = [(20_000, 21_000, 300_000, 310_000), (30_000, 11_000, 200_000, 410_000)]
+    fits = [(f"m{i}", *t, *sp.fisher_2x2(*t)[:3]) for i, t in enumerate(tables)]
+    wrong = ("w", *tables[1], 6.0, 5.0, 7.0)
+    names = "motif_id string, a bigint, b bigint, c bigint, d bigint, odds_ratio double, lower double, upper double"
+    began = time.monotonic()
+    for more, want in (([], (0, 0, 0)), ([wrong], (1, 1, 1))):
+        monkeypatch.setattr(sq, "st3_fisher", lambda *_, more=more: spark.createDataFrame(fits + more, names))
+        assert tuple(sq.st3_fisher_fits(spark, "").first()) == want
+    assert time.monotonic() - began < 45
+
+
+def test_hypergeometric_logs(spark):
+    df = spark.createDataFrame([("a", 4, 10, 5, 6), ("b", 0, 3, 1, 1)], "name string, seen bigint, n bigint, k bigint, m bigint")
+    c = math.comb
+    want = [(g, i, c(k, i) * c(n - k, m - i) / (c(k, x) * c(n - k, m - x))) for g, x, n, k, m in df.collect() for i in range(max(0, m + k - n), min(k, m) + 1)]
+    got = sorted((r["name"], r["i"], math.exp(r["l"])) for r in st.hypergeometric_logs(df, "seen").collect())
+    assert [r[:2] for r in got] == [r[:2] for r in want] and [r[2] for r in got] == pytest.approx([r[2] for r in want])
+
+
+def test_fisher_of_large_counts_meets_its_definition():
+    a, b, c, d = 5_000, 7_000, 40_000, 90_000
+    ratio, lower, upper, _ = sp.fisher_2x2(a, b, c, d)
+    x = np.arange(a + b + 1)
+    f = np.array([math.lgamma(i + 1) for i in range(a + b + c + d + 1)])
+    logs = -f[x] - f[a + c - x] - f[a + b - x] - f[d - a + x]
+
+    def share(r):
+        w = np.exp((v := logs + x * math.log(r)) - v.max())
+        return w / w.sum()
+
+    assert (share(ratio) * x).sum() == pytest.approx(a)
+    assert share(lower)[x >= a].sum() == pytest.approx(0.025) == share(upper)[x <= a].sum()
