@@ -216,3 +216,18 @@ def test_fisher_of_large_counts_meets_its_definition():
 
     assert (share(ratio) * x).sum() == pytest.approx(a)
     assert share(lower)[x >= a].sum() == pytest.approx(0.025) == share(upper)[x <= a].sum()
+
+
+def test_fisher_table_query_on_many_hits(spark, tmp_path):
+    """One motif's 68,000 hits have 10 million tables with the same margins."""
+    cells = [("+", 16.0, 15_000), ("+", 3.0, 18_700), ("-", 14.0, 15_100), ("-", 13.9, 18_700), (".", 20.0, 290), (".", 1.0, 330), ("*", 20.0, 5), ("+", None, 5), ("-", float("nan"), 5)]
+    few = [("+", 16.0, 3), ("+", 3.0, 1), ("-", 14.0, 2), ("-", 13.9, 4), (".", 1.0, 5)]
+    counts = spark.createDataFrame([(m, *c) for m, t in (("many", cells), ("few", few), ("#", few)) for c in t], "motif_id string, strand string, score double, n int")
+    counts.selectExpr("motif_id", "strand", "score", "explode(sequence(1, n))").drop("col").write.parquet(f"{tmp_path}/fimo.parquet")
+    began = time.monotonic()
+    got = {r["motif_id"]: tuple(r)[1:] for r in sq.st4_fisher_table(spark, str(tmp_path)).collect()}
+    assert time.monotonic() - began < 60
+    assert set(got) == {"many", "few"} and got["many"][:6] == (15_000, 18_700, 15_100, 18_700, 290, 330) and got["few"][:6] == (3, 1, 2, 4, 0, 5)
+    assert got["few"][6] == pytest.approx(brute_table([[3, 1], [2, 4], [0, 5]]))
+    chi2 = sum((x - r * c / n) ** 2 / (r * c / n) for r, row in ((33_700, (15_000, 18_700)), (33_800, (15_100, 18_700)), (620, (290, 330))) for x, c, n in zip(row, (30_390, 37_730), (68_120, 68_120), strict=True))
+    assert got["many"][6] == pytest.approx(sp.chi2_sf(chi2, 2), rel=1e-2)
