@@ -159,7 +159,7 @@ def st4_fisher_table(spark, folder):
     """Exact test of strand by strength per motif, for tables of three rows and two columns."""
     f = table(spark, folder, "fimo").where("motif_id not like '#%' and score is not null and not isnan(score) and strand in ('+', '-', '.')")
     cells = [F.count_if((F.col("strand") == s) & ((F.col("score") >= 14) if hi else (F.col("score") < 14))).alias(f"n{i}{hi:d}") for i, s in enumerate("+-.") for hi in (True, False)]
-    t = f.groupBy("motif_id").agg(*cells)
+    t = f.groupBy("motif_id").agg(*cells).repartition(spark.sparkContext.defaultParallelism)  # few small rows, which one task would test otherwise
     names = [c for c in t.columns if c != "motif_id"]
     p = st.per_row(lambda *v: sp.fisher_table([[int(v[2 * i]), int(v[2 * i + 1])] for i in range(3)]), "double", *(F.col(c) for c in names))
     return t.select("motif_id", *names, p.alias("p_value"))

@@ -231,3 +231,27 @@ def test_fisher_table_query_on_many_hits(spark, tmp_path):
     assert got["few"][6] == pytest.approx(brute_table([[3, 1], [2, 4], [0, 5]]))
     chi2 = sum((x - r * c / n) ** 2 / (r * c / n) for r, row in ((33_700, (15_000, 18_700)), (33_800, (15_100, 18_700)), (620, (290, 330))) for x, c, n in zip(row, (30_390, 37_730), (68_120, 68_120), strict=True))
     assert got["many"][6] == pytest.approx(sp.chi2_sf(chi2, 2), rel=1e-2)
+
+
+@pytest.mark.parametrize("off, within", [(2_000, (1e-4, 1)), (4_000, (1e-20, 1e-5)), (60_000, (0, 0))])
+def test_fisher_table_of_three_large_rows(off, within):
+    """2.7 million hits spread evenly over the strands: some 500 million tables are near the seen one, each with logarithms of its own before."""
+    t = [[450_000, 450_000], [450_000 + off, 450_000 - off], [450_000, 450_000]]
+    chi2 = sum((v - (1_350_000 + s * off) / 3) ** 2 / ((1_350_000 + s * off) / 3) for row in t for s, v in zip((1, -1), row, strict=True))
+    began = time.process_time()
+    p = sp.fisher_table(t)
+    assert time.process_time() - began < 5
+    assert within[0] <= p <= within[1] and p == pytest.approx(sp.chi2_sf(chi2, 2), rel=1e-2)
+
+
+def test_fisher_table_of_random_counts():
+    rng = np.random.default_rng(7)
+    for t in rng.integers(0, [[[4, 4], [30, 6], [12, 25]]], size=(60, 3, 2)).tolist():
+        assert sp.fisher_table(t) == pytest.approx(brute_table(t) if np.sum(t, axis=0).all() else 1, rel=1e-9)
+
+
+def test_fisher_table_query_spreads_motifs(spark, tmp_path):
+    """All motifs' tables were tested in one task."""
+    spark.range(400).selectExpr("concat('m', id % 20) AS motif_id", "substr('+-.', cast(id % 3 AS int) + 1, 1) AS strand", "double(id % 29) AS score").write.parquet(f"{tmp_path}/fimo.parquet")
+    tasks = [r["n"] for r in sq.st4_fisher_table(spark, str(tmp_path)).groupBy(F.spark_partition_id().alias("task")).agg(F.count("p_value").alias("n")).collect()]
+    assert sum(tasks) == 20 and len(tasks) == 4 and max(tasks) < 8
